@@ -37,3 +37,17 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND {' AND '.join(tests)} AS kept
 FROM m"""
+
+
+LINE_DEDUP = r"""
+WITH lines AS (
+  SELECT doc_id, coalesce(source, '') AS site, pos, parts[pos] AS line
+  FROM (SELECT doc_id, source, parts, unnest(range(1, len(parts) + 1)) AS pos FROM (SELECT doc_id, source, string_split(text, chr(10)) AS parts FROM documents))),
+able AS (SELECT * FROM lines WHERE len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda w: w <> '')) >= 3),
+known AS (SELECT line, min((doc_id, pos)) AS first FROM able GROUP BY line HAVING count(DISTINCT site) >= 5),
+gone AS (SELECT DISTINCT doc_id, pos FROM able JOIN known USING (line) WHERE (doc_id, pos) <> first),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(line, chr(10) ORDER BY pos) FILTER (gone.pos IS NULL) AS rest, count(gone.pos) AS n_gone
+         FROM lines LEFT JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_lines, coalesce(n_gone, 0)::BIGINT AS n_removed,
+       CASE WHEN text IS NOT NULL THEN length(coalesce(rest, ''))::BIGINT END AS kept_chars, CASE WHEN text IS NOT NULL THEN md5(coalesce(rest, '')) END AS kept_md5
+FROM documents LEFT JOIN kept USING (doc_id)"""

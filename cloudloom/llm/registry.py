@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudloom.llm import oracles, quality
+from cloudloom.llm import linededup, oracles, quality
 from cloudloom.llm.common import read
 
 
+def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text", "source")
+    return linededup.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("kept_chars"), F.md5("text").alias("kept_md5"))
+
+
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents").select("doc_id", "text")
     return quality.rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -16,11 +21,13 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries():
     return {
+        "op5_line_dedup": op5_line_dedup,
         "op7_quality_rules": op7_quality_rules,
     }
 
 
 def oracle_sql():
     return {
+        "op5_line_dedup": oracles.LINE_DEDUP,
         "op7_quality_rules": oracles.quality_rules(),
     }
