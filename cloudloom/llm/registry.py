@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudloom.llm import linededup, oracles, quality
+from cloudloom.llm import langid, linededup, oracles, pieces, quality
 from cloudloom.llm.common import read
 
 
@@ -19,10 +19,30 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    return pieces.token_counts(docs, pieces.load()).select("doc_id", "n_tokens", "token_score")
+
+
+def op9_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    coded = pieces.encode(docs, pieces.load(), verify=True)
+    return coded.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), F.xxhash64("pieces").alias("pieces_hash"), "lossless")
+
+
+def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    model = langid.train(docs.select("doc_id", "text", "lang"))
+    return langid.identify(docs.select("doc_id", "text", langid.held_out().alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def queries():
     return {
         "op5_line_dedup": op5_line_dedup,
         "op7_quality_rules": op7_quality_rules,
+        "op8_token_counts": op8_token_counts,
+        "op9_sentencepiece": op9_sentencepiece,
+        "op10_language_id": op10_language_id,
     }
 
 
