@@ -10,7 +10,8 @@ break this rule are refused. Chunks seen before are looked up, in tables of boun
 
 Exact tie rule: ends are reached from the earliest start first, and a later start must be strictly better, so of equal
 scores the longer last piece wins. Scores are summed in 64-bit floats, in which sums of this vocabulary's whole numbers are exact;
-a tokenizer that sums in 32 bits agrees as long as its sums stay below 2**24.
+a tokenizer that sums in 32 bits agrees as long as all its scores and sums stay below 2**24 (the file's runs of spaces, at -1e9,
+don't: with them among its scores the library rounds every comparison).
 
 Defined results: a null text gives a count of 0 and a null list of pieces, an empty text 0 and an empty list. Texts of any length are cut
 into chunks first; a chunk without spaces is walked once, in memory proportional to its length. Repeated rows give equal
@@ -58,6 +59,10 @@ def load(path: str | None = None) -> Vocabulary:
     model = sentencepiece_model_pb2.ModelProto()
     with open(path or vocabulary_file("piece_bpe_32k.model"), "rb") as f:
         model.ParseFromString(f.read())
+    return of_model(model)
+
+
+def of_model(model) -> Vocabulary:
     rules, kinds = model.normalizer_spec, model.SentencePiece
     if rules.name != "identity" or not rules.add_dummy_prefix or rules.remove_extra_whitespaces or not model.trainer_spec.byte_fallback:
         raise ValueError("only the identity normalizer with a leading space and byte fallback is supported")

@@ -5,15 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudloom.llm import langid, linededup, oracles, pieces, quality
+from cloudloom.llm import decontaminate, langid, licenses, linededup, oracles, pieces, quality
 from cloudloom.llm.common import read
 
 
+def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    return decontaminate.find(docs, read(spark, folder, "benchmark")).where("leaked").select("doc_id", "item_id", F.round("score", 6).alias("score"), "question_share", "answer_share")
+
+
 def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents").select("doc_id", "text", "source")
     return linededup.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("kept_chars"), F.md5("text").alias("kept_md5"))
 
 
+def op6_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = licenses.scan(read(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", F.size("notices").cast("long").alias("n_notices"))
+
+
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents").select("doc_id", "text")
     return quality.rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -38,7 +48,9 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries():
     return {
+        "op4_decontamination": op4_decontamination,
         "op5_line_dedup": op5_line_dedup,
+        "op6_license_scan": op6_license_scan,
         "op7_quality_rules": op7_quality_rules,
         "op8_token_counts": op8_token_counts,
         "op9_sentencepiece": op9_sentencepiece,
