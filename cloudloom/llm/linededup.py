@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloudloom.llm.common import SPACES
+from cloudloom.llm.common import saved, shared_folder
 
 #: log2 of the sketch's registers, and the relative error of an estimate (1.04 / sqrt(registers)) times 4.
 LG_K = 10
@@ -25,12 +25,11 @@ NEAR = 4 * 1.04 / 2 ** (LG_K / 2)
 
 def _lines(docs: DataFrame, id_: str, text: str, site: str, min_words: int) -> DataFrame:
     """A row for each line that could be boilerplate: id, pos, site and the line's MD5."""
-    line = F.col("line")
-    enough = F.length(line) - F.length(F.translate(line, SPACES, "")) >= min_words - 1
-    words = F.size(F.filter(F.split(line, "[\\x20\\x09-\\x0D]+"), lambda w: w != ""))
+    # Found at a line's first words; the rest of it isn't read.
+    enough = F.col("line").rlike("[\\x20\\x09-\\x0D]+".join(["[^\\x20\\x09-\\x0D]+"] * (min_words - 1) + ["[^\\x20\\x09-\\x0D]"]))
     return (
         docs.select(F.col(id_).alias("id"), F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-        .where(enough & (words >= min_words))
+        .where(enough)
         .select("id", "pos", "site", F.unhex(F.md5("line")).alias("key"))
     )
 
@@ -54,7 +53,8 @@ def spread(lines: DataFrame, min_sites: int) -> DataFrame:
 def dedup_lines(docs: DataFrame, id_: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = 5, min_words: int = 3) -> DataFrame:
     """docs with the text less its repeated boilerplate lines, and n_lines and n_removed (long; 0 for a null text)."""
     docs = docs.drop("n_lines", "n_removed", "_gone", "_id", "_parts")
-    lines = _lines(docs, id_, text, site, min_words)
+    # Four steps read the lines; their keys are written once, a few bytes for each line.
+    lines = saved(_lines(docs, id_, text, site, min_words), shared_folder(docs.sparkSession))
     known = spread(lines, min_sites)
     gone = lines.join(known, "key").where((F.col("id") != F.col("first.id")) | (F.col("pos") != F.col("first.pos")))
     # One row a document with the places to remove; a document's lines already share one row of the input.
