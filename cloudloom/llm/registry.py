@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudloom.llm import decontaminate, langid, licenses, linededup, oracles, pieces, quality
+from cloudloom.llm import decontaminate, jaccard, langid, licenses, linededup, oracles, pieces, quality
 from cloudloom.llm.common import read
 
 
+def op2_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.cluster(read(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents").select("doc_id", "text")
     return decontaminate.find(docs, read(spark, folder, "benchmark")).where("leaked").select("doc_id", "item_id", F.round("score", 6).alias("score"), "question_share", "answer_share")
@@ -48,6 +52,7 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries():
     return {
+        "op2_jaccard_join": op2_jaccard_join,
         "op4_decontamination": op4_decontamination,
         "op5_line_dedup": op5_line_dedup,
         "op6_license_scan": op6_license_scan,
