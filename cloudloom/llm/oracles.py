@@ -51,3 +51,23 @@ kept AS (SELECT doc_id, count(*) AS n, string_agg(line, chr(10) ORDER BY pos) FI
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_lines, coalesce(n_gone, 0)::BIGINT AS n_removed,
        CASE WHEN text IS NOT NULL THEN length(coalesce(rest, ''))::BIGINT END AS kept_chars, CASE WHEN text IS NOT NULL THEN md5(coalesce(rest, '')) END AS kept_md5
 FROM documents LEFT JOIN kept USING (doc_id)"""
+
+
+CHAT_FORMAT = r"""
+WITH calls AS (
+  SELECT conv_id, turn, min(text) AS text FROM conversations WHERE role = 'user' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn),
+results AS (
+  SELECT conv_id, turn - 1 AS turn, min(text) AS content FROM conversations WHERE role = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn),
+linked AS (
+  SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.turn, r.turn) AS turn, c.turn IS NOT NULL AS called, r.turn IS NOT NULL AS answered, text, content,
+         text IS NOT NULL AND length(text) >= 1 AND (c.turn % 4 = 0 OR length(text) <= 120) AS valid
+  FROM calls c FULL JOIN results r ON c.conv_id = r.conv_id AND c.turn = r.turn),
+texts AS (
+  SELECT *, '{"arguments":{' || CASE WHEN text IS NULL THEN '' ELSE '"query":' || to_json(text)::VARCHAR || ',' END || '"turn":' || turn || '},"id":"call-' || turn || '","name":"'
+    || CASE WHEN turn % 4 = 0 THEN 'search' ELSE 'lookup' END || '","result":' || coalesce(to_json(content)::VARCHAR, 'null') || ',"valid":' || valid || '}' AS call
+  FROM linked)
+SELECT conv_id, count(*) FILTER (called) AS n_calls, count(*) FILTER (called AND answered) AS n_linked, count(*) FILTER (NOT called) AS n_orphans,
+       count(*) FILTER (called AND NOT valid) AS n_invalid, coalesce(string_agg('call-' || turn, ',' ORDER BY turn) FILTER (called), '') AS call_order,
+       md5('{"calls":[' || coalesce(string_agg(call, ',' ORDER BY turn) FILTER (called), '') || '],"orphans":['
+           || coalesce(string_agg('"call-' || turn || '"', ',' ORDER BY 'call-' || turn) FILTER (NOT called), '') || ']}') AS json_md5
+FROM texts GROUP BY conv_id"""

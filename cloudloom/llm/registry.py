@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudloom.llm import decontaminate, jaccard, langid, licenses, linededup, oracles, pieces, quality
+from cloudloom.llm import decontaminate, jaccard, langid, licenses, linededup, oracles, pieces, quality, toolcalls
 from cloudloom.llm.common import read
 
 
@@ -13,6 +13,12 @@ def op2_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.cluster(read(spark, folder, "documents").select("doc_id", "text"))
 
 
+def op3_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    calls, results = toolcalls.calls_of(read(spark, folder, "conversations"))
+    out = toolcalls.link(calls, results, toolcalls.SCHEMAS)
+    return out.select(F.col("conversation").alias("conv_id"), "n_calls", "n_linked", "n_orphans", "n_invalid", F.array_join("call_order", ",").alias("call_order"), F.md5("json").alias("json_md5"))
+
+
 def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents").select("doc_id", "text")
     return decontaminate.find(docs, read(spark, folder, "benchmark")).where("leaked").select("doc_id", "item_id", F.round("score", 6).alias("score"), "question_share", "answer_share")
@@ -53,6 +59,7 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 def queries():
     return {
         "op2_jaccard_join": op2_jaccard_join,
+        "op3_chat_format": op3_chat_format,
         "op4_decontamination": op4_decontamination,
         "op5_line_dedup": op5_line_dedup,
         "op6_license_scan": op6_license_scan,
@@ -65,6 +72,7 @@ def queries():
 
 def oracle_sql():
     return {
+        "op3_chat_format": oracles.CHAT_FORMAT,
         "op5_line_dedup": oracles.LINE_DEDUP,
         "op7_quality_rules": oracles.quality_rules(),
     }
