@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudloom.llm import decontaminate, jaccard, langid, licenses, linededup, oracles, pieces, quality, toolcalls
+from cloudloom.llm import decontaminate, jaccard, langid, licenses, linededup, oracles, pieces, quality, secrets, toolcalls
 from cloudloom.llm.common import read
 
 
+def op1_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.scan(read(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "line", "word", "place", F.md5("candidate").alias("candidate_md5"), F.round("score", 6).alias("score"), "secret")
+
+
 def op2_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.cluster(read(spark, folder, "documents").select("doc_id", "text"))
 
@@ -58,6 +63,7 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries():
     return {
+        "op1_secret_scan": op1_secret_scan,
         "op2_jaccard_join": op2_jaccard_join,
         "op3_chat_format": op3_chat_format,
         "op4_decontamination": op4_decontamination,
