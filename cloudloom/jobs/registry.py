@@ -1,9 +1,17 @@
 """Queries of the point-cloud operators and their SQL."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from cloudloom.jobs import cloud_queries, cluster_queries, image_queries, name_queries, neighbor_queries
 
-def oracle_sql():
-    return {}
+MODULES = (cloud_queries, neighbor_queries, cluster_queries, image_queries, name_queries)
+
+
+def queries() -> dict[str, Callable]:
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for m in MODULES for name, sql in m.SQL.items()}
