@@ -17,8 +17,14 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """df written as Parquet and read again: the plan restarts there, and a lost executor costs no earlier step."""
-    folder = shared_folder(df.sparkSession)
-    df.write.parquet(folder)
+def saved(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """df written as Parquet, in a new shared folder unless one is named, and read again: the plan restarts there, and a lost executor costs no earlier step."""
+    folder = folder or shared_folder(df.sparkSession)
+    df.write.mode("overwrite").parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def forget(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that saved wrote, once what was made of it is written too."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
