@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from cloudloom.sources.shared import forget, saved, shared_folder  # noqa: F401
+
 #: The separators of words: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -18,21 +18,6 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors can both see: inside spark.checkpoint.dir, which is set here only where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame, folder: str) -> DataFrame:
-    """Write df as Parquet in a shared folder and read it again: the plan restarts there, and a lost executor costs no earlier step."""
-    df.write.mode("overwrite").parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
-
-
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about most_bytes of text each; a longer single text is a part of its own."""
     sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()

@@ -1,40 +1,5 @@
-"""Connected components of a graph of links, by alternating large-star and small-star steps."""
+"""Connected components of a graph of links."""
 
-from __future__ import annotations
+from cloudloom.operators.clusters import components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from cloudloom.llm.common import saved, shared_folder
-
-
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    joined = both.join(least, "a")
-    if large:
-        out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    else:
-        lower = joined.where("b <= a")
-        out = lower.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(lower.select("a", F.col("m").alias("b")))
-    return out.where("a <> b").distinct()
-
-
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(a, b) links of whole numbers to (node, root): the smallest node of each linked node's component; roots are listed too.
-
-    Every step is written in the shared folder, so plans stay short and a lost executor costs one step. Rows never exceed
-    twice the links. An empty table of links gives an empty result.
-    """
-    spark = edges.sparkSession
-    edges = saved(edges.select("a", "b").where("a <> b").distinct(), shared_folder(spark))
-    state = None
-    for _ in range(most_rounds):
-        edges = saved(_star(_star(edges, True), False), shared_folder(spark))
-        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == state:
-            break
-        state = now
-    else:
-        raise RuntimeError("the components did not settle")
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+__all__ = ["components"]

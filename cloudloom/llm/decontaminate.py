@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cloudloom.llm.common import slices
+from cloudloom.llm.common import saved, slices
 from cloudloom.llm.licenses import words_of
 
 K1, B, BLOCK = 1.2, 0.75, 4
@@ -176,6 +176,7 @@ def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     shards = max(1, -(-total // shard_words))
     # An item goes to a shard by its hash; items of one text may share all their terms, so they are listed one by one.
     packed = impacts.groupBy("item", "text").agg(F.collect_list(F.struct("term", "impact")).alias("terms")).withColumn("shard", F.pmod(F.xxhash64("item", "text"), F.lit(shards)))
+    packed = saved(packed)  # read once for each shard
     kinds = {f.name: f.dataType for f in docs.schema.fields} | {"item": benchmark.schema[item].dataType}
     schema = T.StructType([T.StructField(key, kinds[key]), T.StructField(item, kinds["item"]), *T.StructType.fromDDL("score double, question_share double, answer_share double, leaked boolean").fields])
     asked = docs.select(key, text)

@@ -40,14 +40,15 @@ def spread(lines: DataFrame, min_sites: int) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "pos")).alias("first"), F.hll_sketch_agg(F.xxhash64("site"), F.lit(LG_K)).alias("sketch")
     )
     # A line on fewer rows than min_sites can't be on as many sites.
-    rated = found.where(F.col("n") >= min_sites).select("key", "first", F.hll_sketch_estimate("sketch").alias("sites"))
+    # Written, so that the joins below deal both sides anew and Spark can split a line that a third of all rows hold.
+    rated = saved(found.where(F.col("n") >= min_sites).select("key", "first", F.hll_sketch_estimate("sketch").alias("sites")))
     low, high = min_sites * (1 - NEAR) - 1, min_sites * (1 + NEAR) + 1
     near = rated.where(F.col("sites").between(low, high))
     exact = (
-        lines.join(near.select("key"), "key", "left_semi").select("key", "site").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("exact")).where(F.col("exact") >= min_sites)
+        lines.join(near.select("key"), "key").select("key", "site").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("exact")).where(F.col("exact") >= min_sites)
     )
     sure = rated.where(F.col("sites") > high).select("key", "first")
-    return sure.unionByName(near.join(exact, "key", "left_semi").select("key", "first"))
+    return saved(sure.unionByName(near.join(exact, "key", "left_semi").select("key", "first")))
 
 
 def dedup_lines(docs: DataFrame, id_: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = 5, min_words: int = 3) -> DataFrame:
