@@ -49,6 +49,7 @@ QUERIES = {
     "kmeans_assign": lambda s, d: clusters.assign(events_cloud(s, d), CENTERS, ("r", "g", "b")).select("point_id", "label"),
     "kmeans_update": lambda s, d: rounded(clusters.update(clusters.assign(events_cloud(s, d), CENTERS, ("r", "g", "b")), ("r", "g", "b")), *"rgb"),
     "kmeans_full": lambda s, d: clusters.kmeans(embeddings_cloud(s, d), 4, ("nx", "ny", "nz")).select("point_id", "label"),
+    "segment_cloud": lambda s, d: clusters.segment(embeddings_cloud(s, d).drop("segment_id", "label"), 3, 5.0, 4).select("point_id", "part", "segment_id"),
     "cluster_max_z": lambda s, d: clusters.extreme_clusters(embeddings_cloud(s, d)),
     "brightest_cluster": lambda s, d: clusters.brightest(embeddings_cloud(s, d)),
     "adaptive_threshold_voxel": lambda s, d: clusters.adaptive(events_cloud(s, d), [cell(F.col(a), 2.0) for a in "xyz"], -7).select("point_id"),

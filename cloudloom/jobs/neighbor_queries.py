@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from cloudloom.functions.geometry import AXES
+from cloudloom.functions.geometry import AXES, affine
 from cloudloom.operators import neighbors, register
 from cloudloom.sources.clouds import EMBEDDINGS_SQL, embeddings_cloud
 
@@ -52,7 +53,27 @@ def _equations(s, d):
     return out.select(*[F.round(c, 6).alias(c) if c != "n" else F.col(c) for c in out.columns])
 
 
+def _icp(s, d):
+    """A cloud turned and moved a little, brought back: the fitness, and how far the found motion is from the true one."""
+    target = embeddings_cloud(s, d)
+    a = 0.002
+    motion = np.array([[np.cos(a), -np.sin(a), 0, 0.05], [np.sin(a), np.cos(a), 0, -0.04], [0, 0, 1, 0.03], [0, 0, 0, 1]])
+    found, fitness = register.icp(affine(target, np.linalg.inv(motion).tolist()), target, 1.0, rounds=4)
+    return s.createDataFrame([(float(fitness), round(float(np.abs(found - motion).max()), 6))], "fitness double, error double")
+
+
+def _ransac(s, d):
+    """Pairs of which a tenth is wrong: the best attempts and how many pairs they fit."""
+    cloud = embeddings_cloud(s, d)
+    moved = affine(cloud, [[0.0, -1.0, 0.0, 5.0], [1.0, 0.0, 0.0, -2.0], [0.0, 0.0, 1.0, 0.5], [0.0, 0.0, 0.0, 1.0]])
+    wrong = F.when(F.col("point_id") % 10 == 0, 40.0).otherwise(0.0)
+    pairs = cloud.select(F.col("point_id").alias("pair_id"), *[F.col(a).alias(f"s{a}") for a in AXES]).join(moved.select(F.col("point_id").alias("pair_id"), *[(F.col(a) + wrong).alias(f"t{a}") for a in AXES]), "pair_id")
+    return register.ransac(pairs, 0.5, tries=50).limit(3).select("attempt", "inliers", F.transform(F.flatten("transform"), lambda v: F.round(v, 6)).alias("transform"))
+
+
 QUERIES = {
+    "icp_register": _icp,
+    "ransac_register": _ransac,
     "knn_self": lambda s, d: _pairs(neighbors.nearest(embeddings_cloud(s, d), embeddings_cloud(s, d), 8)),
     "knn_two_sides": lambda s, d: _pairs(neighbors.nearest(embeddings_cloud(s, d).where("label = 0"), embeddings_cloud(s, d).where("label <> 0"), 12)),
     "radius_neighbors": lambda s, d: _pairs(neighbors.capped(neighbors.within(embeddings_cloud(s, d), embeddings_cloud(s, d), 5.0), 10)),

@@ -42,9 +42,9 @@ def ranked(df: DataFrame, order: list[str], start: int = 0) -> DataFrame:
     return parts.join(F.broadcast(before), "_part").withColumn("rank", (inside + F.col("_before") - 1 + start).cast("long")).drop("_part", "_before")
 
 
-def dbscan(cloud: DataFrame, eps: float, least: int = 3) -> DataFrame:
-    """cloud with label: the clusters numbered by their smallest core point, -1 for noise; a border point gets its smallest cluster."""
-    pairs = saved(within(cloud, cloud, eps).select("qid", "pid"))
+def dbscan(cloud: DataFrame, eps: float, least: int = 3, by: list[str] | None = None) -> DataFrame:
+    """cloud with label: the clusters numbered by their smallest core point, -1 for noise; a border point gets its smallest cluster. Points of different groups (by) aren't neighbours."""
+    pairs = saved(within(cloud, cloud, eps, by=by).select("qid", "pid"))
     core = saved(pairs.groupBy("qid").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("qid"))
     reach = pairs.join(core, "qid", "left_semi")
     inner = reach.join(core.select(F.col("qid").alias("pid")), "pid", "left_semi").where("qid <> pid").select(F.col("qid").alias("a"), F.col("pid").alias("b"))
@@ -152,6 +152,12 @@ def kmeans(cloud: DataFrame, k: int, columns: tuple[str, ...], most_rounds: int
     return assign(rows, centers, columns)
 
 
+def segment(cloud: DataFrame, k: int = 4, eps: float = 3.0, least: int = 2000) -> DataFrame:
+    """cloud with segment_id: k-means on normals, density clusters inside each of its parts, and of these the ones of least points or more."""
+    parts = saved(kmeans(cloud, k, ("nx", "ny", "nz")).withColumnRenamed("label", "part"))
+    return filter_by_size(dbscan(parts, eps, by=["part"]), least).withColumnRenamed("label", "segment_id")
+
+
 def extreme_clusters(cloud: DataFrame) -> DataFrame:
     """One row: the clusters that hold the highest and the lowest point."""
     return cloud.agg(F.max_by("label", F.struct(F.col("z"), -F.col("point_id"))).alias("max_label"), F.min_by("label", F.struct("z", "point_id")).alias("min_label"))
