@@ -6,7 +6,8 @@ import os
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cloudloom.sources.shared import forget, saved, shared_folder  # noqa: F401
 
@@ -18,6 +19,12 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def unmoved() -> Column:
+    """0, of which the optimizer can't tell that it is: a projection that adds it isn't merged into filters above it. Else these would
+    repeat its expressions, inside lambdas once for each element."""
+    return F.floor(F.rand(0)).cast("long")
+
+
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about most_bytes of text each; a longer single text is a part of its own."""
     sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()

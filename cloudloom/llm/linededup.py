@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloudloom.llm.common import saved, shared_folder
+from cloudloom.llm.common import saved, shared_folder, unmoved
 
 #: log2 of the sketch's registers, and the relative error of an estimate (1.04 / sqrt(registers)) times 4.
 LG_K = 10
@@ -65,5 +65,5 @@ def dedup_lines(docs: DataFrame, id_: str = "doc_id", text: str = "text", site:
     return joined.withColumns({
         text: F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(kept, lambda i: F.get("_parts", i)), "\n")),
         "n_lines": F.coalesce(F.size("_parts"), F.lit(0)).cast("long"),
-        "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"),
+        "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long") + unmoved(),
     }).drop("_id", "_gone", "_parts")

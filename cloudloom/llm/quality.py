@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloudloom.llm.common import SPACES
+from cloudloom.llm.common import SPACES, unmoved
 
 #: Frequent function words of English, French, German and Spanish.
 STOP_WORDS = (
@@ -68,7 +68,7 @@ def measures(docs: DataFrame, text: str = "text", window: int = 5) -> DataFrame:
     fourth = third.withColumn("_at", F.sort_array(F.transform(F.filter("_grams", lambda x, i: (x.g == at(i - 1)) | (x.g == at(i + 1))), lambda x: x.i)))
     # A window covers `window` words from its start on, or as many as there are up to the next repeated window.
     covered = F.aggregate(F.transform("_at", lambda p, i: F.least(F.lit(window), F.coalesce(F.get("_at", i + 1) - p, F.lit(window)))), F.lit(0), lambda a, b: a + b)
-    return fourth.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("_w", "_lines", "_grams", "_at")
+    return fourth.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long") + unmoved()).drop("_w", "_lines", "_grams", "_at")
 
 
 def verdict(rules: list[tuple] = RULES) -> Column:
