@@ -3,7 +3,8 @@
 A text is lower-cased (A-Z), everything in ASCII but letters and digits becomes a space, and words are joined by one space. A
 notice of m characters may differ by k = m // 12 edits. Split into k + 1 seeds, one of them must stand unchanged in any match
 (pigeonhole), so one Aho-Corasick pass over all seeds finds the places worth a look; there the ``regex`` library's
-bounded-error matching decides and gives the span and the number of edits.
+bounded-error matching decides and gives the span and the number of edits. Matches of a notice are taken from left to right and don't
+overlap; each is tightened by itself, so a closer match further on hides none.
 
 Defined results: a null or empty text has no words, no labels, null places and score 0. Whole texts are searched, whatever
 their length. Repeated rows get equal results; extra columns pass through and columns named like the output are replaced.
@@ -65,7 +66,7 @@ def seeds(notice: str) -> list[tuple[int, str]]:
 class Finder:
     def __init__(self, notices: list[tuple[str, str]] = NOTICES, phrases: dict[str, str] = PHRASES):
         self.notices, self.phrases = notices, [(f" {p} ", label) for p, label in phrases.items()]
-        self.patterns = [regex.compile(f"(?:{regex.escape(n)}){{e<={edits_allowed(n)}}}", regex.BESTMATCH) for n, _ in notices]
+        self.patterns = [regex.compile(f"(?:{regex.escape(n)}){{e<={edits_allowed(n)}}}", regex.ENHANCEMATCH) for n, _ in notices]
         places: dict[str, list[tuple[int, int]]] = {}
         for k, (notice, _) in enumerate(notices):
             for offset, seed in seeds(notice):
@@ -85,10 +86,11 @@ class Finder:
                 low = max(0, end + 1 - size - offset - slack)
                 high = min(len(text), end + 1 - size - offset + len(notice) + slack)
                 stretches = found.setdefault(k, [])
-                if stretches and low <= stretches[-1][1]:
-                    stretches[-1][0], stretches[-1][1] = min(low, stretches[-1][0]), max(high, stretches[-1][1])
-                else:
-                    stretches.append([low, high])
+                # A later seed may begin an earlier stretch, so it may join several.
+                while stretches and low <= stretches[-1][1]:
+                    before = stretches.pop()
+                    low, high = min(low, before[0]), max(high, before[1])
+                stretches.append([low, high])
         return found
 
     def fuzzy(self, text: str) -> list[tuple[str, int, int, int, float]]:

@@ -55,3 +55,40 @@ def test_equals_brute_force(spark):
     spans = licenses.Finder().scan("x Released under the MIT Licence. y")
     assert spans[5] == "mit" and spans[7][0] == {"label": "mit", "first_word": 1, "last_word": 5, "edits": 1}
     assert licenses.scan(docs.limit(0)).count() == 0
+
+
+def edits_to(notice, text, anywhere):
+    """Edit distance of notice to text, or to the part of text that is nearest to it."""
+    column = list(range(len(notice) + 1))
+    least = column[-1]
+    for j, c in enumerate(text):
+        new = [0 if anywhere else j + 1]
+        for i, x in enumerate(notice):
+            new.append(min(column[i] + (x != c), column[i + 1] + 1, new[i] + 1))
+        column, least = new, min(least, new[-1])
+    return least if anywhere else column[-1]
+
+
+def test_neighbouring_notices_of_different_edits():
+    finder, rng = licenses.Finder(), random.Random(5)
+    found = finder.scan(" ".join(["licensed under the mit licence"] * 50 + ["licensed under the mit license"]))[7]
+    assert [(n["first_word"], n["last_word"], n["edits"]) for n in found] == [(5 * i, 5 * i + 4, int(i < 50)) for i in range(51)]
+    for _ in range(40):
+        notice, _ = rng.choice(licenses.NOTICES)
+        parts = []
+        for _ in range(rng.randrange(1, 8)):
+            chars = list(notice)
+            for _ in range(rng.randrange(licenses.edits_allowed(notice) + 2)):
+                chars[rng.randrange(len(chars))] = rng.choice(["x", "", "yz"])
+            parts += [rng.choice(["", "by", "and so on"]), "".join(chars)]
+        text = f" {' '.join(' '.join(parts).split())} "
+        want = []
+        for k, (known, label) in enumerate(licenses.NOTICES):
+            end = 0
+            for m in finder.patterns[k].finditer(text):  # the whole text, without seeds
+                assert edits_to(known, m.group(), False) == sum(m.fuzzy_counts) <= licenses.edits_allowed(known)
+                assert edits_to(known, text[end : m.start()], True) > licenses.edits_allowed(known)
+                end = m.end()
+                want.append((label, m.start(), end, sum(m.fuzzy_counts)))
+            assert edits_to(known, text[end:], True) > licenses.edits_allowed(known)  # nothing is left between matches or after them
+        assert [x[:4] for x in finder.fuzzy(text)] == sorted(want)
