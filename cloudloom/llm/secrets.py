@@ -1,9 +1,10 @@
 """Secret scan: pattern candidates, and a random forest that removes the false positives among them.
 
-A candidate is a run of 12 or more key characters that holds a digit. Its features are its length, its character classes and
+A candidate is a run of 12 or more key characters; '=' belongs to it only as padding at its end, so in NAME=value the name stays outside, as
+what is beside the value. Its features are its length, its character classes and
 transitions between them, the share of it that dictionary words cover, whether it looks like a path, and the words beside
-it. The forest is fitted by Spark's own classifier on labelled findings, a bounded sample of ``most_findings``, and then compiled into one
-SQL expression, so scanning is a projection of built-in functions.
+it. The forest is fitted by Spark's own classifier on labelled findings, a bounded sample of ``most_findings`` (where there are more, half of them secrets, or all secrets there
+are), and then compiled into one SQL expression, so scanning is a projection of built-in functions.
 
 Defined results: null and empty texts give no row. A null secret label isn't learned from. If the labelled findings are all of one kind, or none,
 the score is the share of secrets among them (0 without any). Each place of a candidate is a finding of its own, so repeated rows give
@@ -21,8 +22,10 @@ from pyspark.sql import functions as F
 
 from cloudloom.llm.common import saved, shared_folder
 
-KEY = "[A-Za-z0-9+/_=.\\-]"
-CANDIDATE = f"(?<!{KEY}){KEY}{{12,}}+"
+KEY = "[A-Za-z0-9+/_.\\-]"
+_PADDING = "={1,6}+(?![A-Za-z0-9+/_=.\"'\\-])"
+#: 12 characters or more, its padding among them.
+CANDIDATE = f"(?<!{KEY})(?:{KEY}{{12,}}+(?:{_PADDING})?|(?=[A-Za-z0-9+/_=.\\-]{{12}}){KEY}{{6,11}}+{_PADDING})"
 #: Words that file names, addresses and identifiers are made of.
 DICTIONARY = "the and for with http https www com org net example test sample user name file data main index page image version release default config local host server admin login license token secret key password mail".split()
 #: Words that stand beside secrets.
@@ -30,14 +33,17 @@ KEYWORDS = "token secret password passwd pwd api_key apikey access_key auth bear
 FEATURES = ["length", "digits", "uppers", "lowers", "marks", "transitions", "distinct_share", "covered", "slashes", "dots", "hex", "keyword_before", "assigned", "quoted", "words_after"]
 
 
-def candidates(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each candidate: id, line and word it is in (from 0), the candidate, the word it stands in and its neighbours."""
+def candidates(docs: DataFrame, id_: str = "doc_id", text: str = "text", with_digit: bool = True) -> DataFrame:
+    """A row for each candidate: id, line and word it is in (from 0), the candidate, the word it stands in and its neighbours.
+
+    with_digit: only those that hold a digit; else all that hold a letter or digit.
+    """
     lines = docs.where(F.col(text).rlike(CANDIDATE)).select(F.col(id_).alias("id"), F.posexplode(F.split(text, "\n")).alias("line", "content"))
     words = lines.where(F.col("content").rlike(CANDIDATE)).select("id", "line", F.split("content", "[\\x20\\x09-\\x0D]+").alias("words"))
     near = words.select("id", "line", "words", F.posexplode("words").alias("word", "own")).where(F.length("own") >= 12)
     word = lambda k: F.coalesce(F.get("words", F.col("word") + k), F.lit(""))
     kept = near.select("id", "line", "word", "own", word(-2).alias("before2"), word(-1).alias("before"), word(1).alias("after"), F.posexplode(F.regexp_extract_all("own", F.lit(CANDIDATE), F.lit(0))).alias("place", "candidate"))
-    return kept.where(F.col("candidate").rlike("[0-9]"))
+    return kept.where(F.col("candidate").rlike("[0-9]" if with_digit else "[A-Za-z0-9]"))
 
 
 def features(found: DataFrame) -> DataFrame:
@@ -63,8 +69,9 @@ def fit(labelled: DataFrame, label: str = "secret", most_findings: int = 20_000,
     n, good = known.agg(F.count(F.lit(1)), F.sum(F.col(label).cast("int"))).first()
     if not n or good in (0, n):
         return F.lit(float(good or 0) / max(n, 1))
-    # Chosen by a hash of the finding, so the sample is bounded and the same in each run.
-    sampled = known.where(F.pmod(F.xxhash64("id", "line", "word", "place"), F.lit(1_000_003)) / 1_000_003 < most_findings / n).limit(2 * most_findings)
+    # Chosen by a hash of the finding, so the sample is bounded and the same in each run. Long words of prose are far more than secrets, so each kind has its half.
+    part = 1.0 if n <= most_findings else F.when(F.col(label), most_findings / 2 / good).otherwise(most_findings / 2 / (n - good))
+    sampled = known.where(F.pmod(F.xxhash64("id", "line", "word", "place"), F.lit(1_000_003)) / 1_000_003 < part).limit(2 * most_findings)
     rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(sampled.withColumn("label", F.col(label).cast("double"))).select("features", "label")
     if rows.select("label").distinct().count() < 2:
         return F.lit(float(good) / n)
@@ -96,7 +103,7 @@ def weak_label() -> Column:
 
 def scan(docs: DataFrame, id_: str = "doc_id", text: str = "text", labelled: DataFrame | None = None, **options) -> DataFrame:
     """Findings (id_, line, word, place, candidate, score, secret); labelled: findings with FEATURES and the column secret, else weak labels of docs' own."""
-    found = saved(features(candidates(docs, id_, text)), shared_folder(docs.sparkSession))  # read twice: to fit and to rate
+    found = saved(features(candidates(docs, id_, text, with_digit=False)).select("id", "line", "word", "place", "candidate", *FEATURES), shared_folder(docs.sparkSession))  # read twice: to fit and to rate
     score = fit(found.withColumn("secret", weak_label()) if labelled is None else labelled, **options)
     rated = found.withColumn("score", score)
     return rated.select(F.col("id").alias(id_), "line", "word", "place", "candidate", "score", (F.col("score") >= 0.5).alias("secret"))

@@ -51,3 +51,24 @@ def test_false_positives_go(spark):
     hexes = [r.secret for r in rows if re.fullmatch("[0-9a-f]{40}", r.candidate)]
     numbers = [r.secret for r in rows if r.candidate.isdigit() or "example.com" in r.candidate]
     assert len(hexes) > 50 and all(hexes) and len(numbers) > 100 and not any(numbers)
+
+
+def test_unquoted_values_and_letters_only(spark):
+    cases = [
+        ("API_TOKEN=24be64439e3e49cf46b2d7c9", ["24be64439e3e49cf46b2d7c9"]), ("password=Abcdef1234567890XYZ", ["Abcdef1234567890XYZ"]), ("export AWS_SECRET_ACCESS_KEY=AbCdEfGhIjKlMnOpQrStUvWx", ["AWS_SECRET_ACCESS_KEY", "AbCdEfGhIjKlMnOpQrStUvWx"]),
+        ("key YWJjZGVmZ2g1= and YWJjZGVmZ2hpamtsbW5v==", ["YWJjZGVmZ2g1=", "YWJjZGVmZ2hpamtsbW5v=="]), ("YWJjZGVmZ1= YWJjZGVmZ1==", ["YWJjZGVmZ1=="]), ("ACCESS_KEYS='x' a=b=c 123456789== ============ ------------", []), ("?access_token=abcdefghijkl&b=1", ["access_token", "abcdefghijkl"]),
+    ]
+    found = secrets.candidates(spark.createDataFrame(list(enumerate(t for t, _ in cases)), "doc_id long, text string"), with_digit=False).collect()
+    assert sorted((r.id, r.candidate) for r in found) == sorted((i, c) for i, (_, cs) in enumerate(cases) for c in cs)
+    values = {}
+    for i in range(300):
+        letters = "".join(chr((97, 65)[(i + j) % 2] + (i * 7 + j * j * 3) % 26) for j in range(24))
+        values[i] = {f"{i * 7919 + 10**30:x}" + "9e" * 8, f"Abcdef{i}1234567XYZ", letters}
+    docs = [(i, "\n".join(f"{name}={v}" for name, v in zip(["API_TOKEN", "export password", "DB_SECRET"], sorted(vs), strict=True)) + "\nincomprehensible characteristics of /usr/share/documentation/index.html 4785380592391139") for i, vs in values.items()]
+    rows = secrets.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.candidate) for r in rows if r.secret} == {(i, v) for i, vs in values.items() for v in vs}
+    assert len(rows) == 300 * 7
+    # Where secrets are few among the findings, a bounded sample still learns them.
+    few = secrets.scan(spark.createDataFrame([*docs[:5], *[(1000 + i, "characteristics " * 200) for i in range(20)]], "doc_id long, text string"), most_findings=100).collect()
+    assert {(i, v) for i in range(5) for v in values[i]} <= {(r.doc_id, r.candidate) for r in few if r.secret}
+    assert not any(r.secret for r in few if r.candidate == "characteristics")
