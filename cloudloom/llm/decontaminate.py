@@ -13,7 +13,8 @@ bounded whatever the benchmark's; training documents are never shuffled.
 
 Defined results: null and empty texts and items without words match nothing. Of several passages of a row that hold an item the one with the
 largest shares, then the best score counts, so there is one result for each row of documents and item; repeated rows repeat it.
-Items of equal text are all reported. Extra columns of either table are ignored. An empty table gives an empty result.
+Items of equal text are all reported. An item with a null id is searched like any other, with its text as its name, and reported under null; so is a document
+with a null id, and ``clean`` tells these by their text. Extra columns of either table are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -94,8 +95,8 @@ def postings(benchmark: DataFrame, item: str, text: str) -> tuple[DataFrame, Dat
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     impact = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
     scored = tf.join(df, "term").crossJoin(F.broadcast(counted)).select("item", "text", "term", impact.alias("impact"))  # counted is one row
-    own = scored.groupBy("item", "text").agg(F.sum("impact").alias("own"))
-    return rows, scored.join(own, ["item", "text"]).select("item", "text", "term", (F.col("impact") / F.col("own")).alias("impact"))
+    own = scored.groupBy("item", "text").agg(F.sum("impact").alias("own")).select(F.col("item").alias("same"), F.col("text").alias("same_text"), "own")
+    return rows, scored.join(own, F.col("item").eqNullSafe(F.col("same")) & (F.col("text") == F.col("same_text"))).select("item", "text", "term", (F.col("impact") / F.col("own")).alias("impact"))
 
 
 def build(rows: list, n: int) -> Index:
@@ -212,7 +213,10 @@ def _search(docs: DataFrame, index: Index, schema: T.StructType, key: str, text:
     return docs.mapInArrow(run, schema)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **options) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """docs without those that hold a leaked item."""
-    leaks = find(docs, benchmark, key, **options).where("leaked").select(key).distinct()
-    return docs.join(leaks, key, "left_anti")
+    # Whether a text leaks hangs on it alone, so its digest can stand for an id that is null.
+    named = docs.withColumn("_key", F.struct(F.col(key).alias("id"), F.when(F.col(key).isNull(), F.md5(text)).alias("own")))
+    leaks = find(named, benchmark, "_key", text, **options).where("leaked").select(F.col("_key.id").alias("_id"), F.col("_key.own").alias("_own")).distinct()
+    same = F.col("_key.id").eqNullSafe(F.col("_id")) & F.col("_key.own").eqNullSafe(F.col("_own"))
+    return named.join(leaks, same, "left_anti").drop("_key")

@@ -8,12 +8,12 @@ position) and is removed everywhere else. DataFrame functions only.
 Defined results: a null text has no lines and stays null; an empty text keeps its empty line. Lines with fewer than
 ``min_words`` words are never boilerplate. A null site counts as a site of its own. Repeated rows of one doc_id count like
 different places: the same line at the same place of the same doc_id is kept in each of these rows. Lines compare byte for
-byte. Extra columns pass through; the operator's own columns replace input columns of the same names.
+byte. Null ids come after all others and are told apart by their text; null ids with equal texts count as repeated rows of one. Extra columns pass through; the operator's own columns replace input columns of the same names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloudloom.llm.common import saved, shared_folder, unmoved
@@ -23,21 +23,26 @@ LG_K = 10
 NEAR = 4 * 1.04 / 2 ** (LG_K / 2)
 
 
+def _own(id_: str, text: str) -> Column:
+    """What a row without an id is told by: the digest of its text. Null where there is an id."""
+    return F.when(F.col(id_).isNull(), F.md5(text))
+
+
 def _lines(docs: DataFrame, id_: str, text: str, site: str, min_words: int) -> DataFrame:
-    """A row for each line that could be boilerplate: id, pos, site and the line's MD5."""
+    """A row for each line that could be boilerplate: id, own (see _own), pos, site and the line's MD5."""
     # Found at a line's first words; the rest of it isn't read.
     enough = F.col("line").rlike("[\\x20\\x09-\\x0D]+".join(["[^\\x20\\x09-\\x0D]+"] * (min_words - 1) + ["[^\\x20\\x09-\\x0D]"]))
     return (
-        docs.select(F.col(id_).alias("id"), F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+        docs.select(F.col(id_).alias("id"), _own(id_, text).alias("own"), F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
         .where(enough)
-        .select("id", "pos", "site", F.unhex(F.md5("line")).alias("key"))
+        .select("id", "own", "pos", "site", F.unhex(F.md5("line")).alias("key"))
     )
 
 
 def spread(lines: DataFrame, min_sites: int) -> DataFrame:
     """key and first place of the lines on min_sites sites or more."""
     found = lines.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "pos")).alias("first"), F.hll_sketch_agg(F.xxhash64("site"), F.lit(LG_K)).alias("sketch")
+        F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "own", "pos")).alias("first"), F.hll_sketch_agg(F.xxhash64("site"), F.lit(LG_K)).alias("sketch")
     )
     # A line on fewer rows than min_sites can't be on as many sites.
     # Written, so that the joins below deal both sides anew and Spark can split a line that a third of all rows hold.
@@ -53,17 +58,18 @@ def spread(lines: DataFrame, min_sites: int) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, id_: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = 5, min_words: int = 3) -> DataFrame:
     """docs with the text less its repeated boilerplate lines, and n_lines and n_removed (long; 0 for a null text)."""
-    docs = docs.drop("n_lines", "n_removed", "_gone", "_id", "_parts")
+    docs = docs.drop("n_lines", "n_removed", "_gone", "_id", "_own", "_parts")
     # Four steps read the lines; their keys are written once, a few bytes for each line.
     lines = saved(_lines(docs, id_, text, site, min_words), shared_folder(docs.sparkSession))
     known = spread(lines, min_sites)
-    gone = lines.join(known, "key").where((F.col("id") != F.col("first.id")) | (F.col("pos") != F.col("first.pos")))
+    at_first = F.col("id").eqNullSafe(F.col("first.id")) & F.col("own").eqNullSafe(F.col("first.own")) & (F.col("pos") == F.col("first.pos"))
+    gone = lines.join(known, "key").where(~at_first)
     # One row a document with the places to remove; a document's lines already share one row of the input.
-    gone = gone.select(F.col("id").alias("_id"), "pos").distinct().groupBy("_id").agg(F.collect_list("pos").alias("_gone"))
-    joined = docs.join(gone, F.col(id_) == F.col("_id"), "left").withColumn("_parts", F.split(text, "\n"))
+    gone = gone.select(F.col("id").alias("_id"), F.col("own").alias("_own"), "pos").distinct().groupBy("_id", "_own").agg(F.collect_list("pos").alias("_gone"))
+    joined = docs.join(gone, F.col(id_).eqNullSafe(F.col("_id")) & _own(id_, text).eqNullSafe(F.col("_own")), "left").withColumn("_parts", F.split(text, "\n"))
     kept = F.array_except(F.sequence(F.lit(0), F.size("_parts") - 1), F.col("_gone"))
     return joined.withColumns({
         text: F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(kept, lambda i: F.get("_parts", i)), "\n")),
         "n_lines": F.coalesce(F.size("_parts"), F.lit(0)).cast("long"),
         "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long") + unmoved(),
-    }).drop("_id", "_gone", "_parts")
+    }).drop("_id", "_own", "_gone", "_parts")
