@@ -5,14 +5,15 @@ scores, so a passage that holds the whole item scores 1 and one threshold fits a
 item's length, one starting each such length, so every place that could hold an item lies whole in one of them; all passages
 of whole texts are asked. Block bounds leave out whole blocks of items, and WAND
 inside a block items, whose bound stays under the threshold, and never one above it. What is
-retrieved is checked: the shares of the question's and of the answer's word n-grams (the last sentence is the answer) that
-the passage holds.
+retrieved is checked, each passage by itself: the shares of the question's, of the answer's (the last sentence is the answer) and of
+the whole item's word n-grams that the passage holds. The last share finds what is nearly whole where a question or an answer
+is too short for a share of its own.
 
 The index is cut into shards of at most ``shard_words`` words, each broadcast in its turn, so its size on an executor is
 bounded whatever the benchmark's; training documents are never shuffled.
 
 Defined results: null and empty texts and items without words match nothing. Of several passages of a row that hold an item the one with the
-largest shares, then the best score counts, so there is one result for each row of documents and item; repeated rows repeat it.
+largest shares, then the best score is reported, a leaked one before any other, so there is one result for each row of documents and item; repeated rows repeat it.
 Items of equal text are all reported. An item with a null id is searched like any other, with its text as its name, and reported under null; so is a document
 with a null id, and ``clean`` tells these by their text. Extra columns of either table are ignored. An empty table gives an empty result.
 """
@@ -56,7 +57,7 @@ class Index:
     terms: dict[bytes, int] = field(default_factory=dict)
     blocks: list[dict[int, tuple[list[int], list[float], float]]] = field(default_factory=list)
     most: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))  # terms x blocks: the largest impacts
-    checks: list[tuple[object, set, set]] = field(default_factory=list)  # item's key, n-grams of question and answer
+    checks: list[tuple[object, set, set, set]] = field(default_factory=list)  # item's key, n-grams of question, answer and the whole
     longest: int = 1
 
     def search(self, query: list[int], block: int, least: float) -> list[tuple[int, float]]:
@@ -105,7 +106,7 @@ def build(rows: list, n: int) -> Index:
     rows = sorted(rows, key=lambda r: (len(r[2]), repr(r[:2])))
     for number, (key, text, terms) in enumerate(rows):
         question, answer = parts_of(text)
-        index.checks.append((key, grams(question, n), grams(answer, n)))
+        index.checks.append((key, grams(question, n), grams(answer, n), grams(question + answer, n)))
         index.longest = max(index.longest, len(question) + len(answer))
         if number % BLOCK == 0:
             index.blocks.append({})
@@ -148,17 +149,21 @@ def candidates(texts: list[list[bytes]], index: Index, least: float, most_cells:
         at = upto
 
 
-def matches(texts: list[list[bytes]], index: Index, least: float, n: int) -> dict[tuple[int, int], tuple[float, float, float]]:
-    """(text, item): (question share, answer share, score) of the best passage among those retrieved."""
-    out: dict[tuple[int, int], tuple[float, float, float]] = {}
+def is_leak(question: float, answer: float, whole: float) -> bool:
+    return (question >= 0.5 and answer >= 0.5) or question >= 0.9 or whole >= 0.5
+
+
+def matches(texts: list[list[bytes]], index: Index, least: float, n: int) -> dict[tuple[int, int], tuple[bool, float, float, float, float]]:
+    """(text, item): (leaked, question share, answer share, score, item share) of the best passage among those retrieved, leaked ones first."""
+    out: dict[tuple[int, int], tuple[bool, float, float, float, float]] = {}
     for doc, start, terms, blocks in candidates(texts, index, least):
         words, held = texts[doc][start : start + 2 * index.longest], None
         for block in blocks:
             for item, score in index.search(terms, block, least):
                 held = grams(words, n) if held is None else held
-                _, question, answer = index.checks[item]
-                shares = [sum(g in held if len(g) == n else contains(words, g) for g in own) / len(own) if own else 1.0 for own in (question, answer)]
-                out[doc, item] = max(out.get((doc, item), (0.0, 0.0, 0.0)), (*shares, score))
+                question, answer, whole = (sum(g in held if len(g) == n else contains(words, g) for g in own) / len(own) if own else 1.0 for own in index.checks[item][1:])
+                found = (is_leak(question, answer, whole), question, answer, score, whole)
+                out[doc, item] = max(out.get((doc, item), found), found)
     return out
 
 
@@ -168,9 +173,10 @@ def contains(words: list[bytes], own: tuple) -> bool:
 
 
 def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", least: float = 0.5, n: int = 5, shard_words: int = 50_000) -> DataFrame:
-    """Rows (key, item, score, question_share, answer_share, leaked) of what was retrieved.
+    """Rows (key, item, score, question_share, answer_share, item_share, leaked) of what was retrieved.
 
-    leaked: at least half of the question's n-grams and half of the answer's, or nine tenths of the question's alone.
+    leaked: some passage holds at least half of the question's n-grams and half of the answer's, or nine tenths of the question's alone, or half of
+    the whole item's.
     """
     rows, impacts = postings(benchmark, item, item_text)
     total = rows.agg(F.sum(F.size("words"))).first()[0] or 0
@@ -179,7 +185,7 @@ def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     packed = impacts.groupBy("item", "text").agg(F.collect_list(F.struct("term", "impact")).alias("terms")).withColumn("shard", F.pmod(F.xxhash64("item", "text"), F.lit(shards)))
     packed = saved(packed)  # read once for each shard
     kinds = {f.name: f.dataType for f in docs.schema.fields} | {"item": benchmark.schema[item].dataType}
-    schema = T.StructType([T.StructField(key, kinds[key]), T.StructField(item, kinds["item"]), *T.StructType.fromDDL("score double, question_share double, answer_share double, leaked boolean").fields])
+    schema = T.StructType([T.StructField(key, kinds[key]), T.StructField(item, kinds["item"]), *T.StructType.fromDDL("score double, question_share double, answer_share double, item_share double, leaked boolean").fields])
     asked = docs.select(key, text)
     parts = []
     for shard in range(shards):
@@ -204,9 +210,8 @@ def _search(docs: DataFrame, index: Index, schema: T.StructType, key: str, text:
             for part in slices(batch, text):
                 keys = part.column(key).to_pylist()
                 texts = [words_of(t) if t else [] for t in part.column(text).to_pylist()]
-                for (doc, i), (question, answer, score) in matches(texts, index, least, n).items() if index.blocks else ():
-                    leaked = (question >= 0.5 and answer >= 0.5) or question >= 0.9
-                    for column, x in zip(out, (keys[doc], index.checks[i][0], score, question, answer, leaked), strict=True):
+                for (doc, i), (leaked, question, answer, score, whole) in matches(texts, index, least, n).items() if index.blocks else ():
+                    for column, x in zip(out, (keys[doc], index.checks[i][0], score, question, answer, whole, leaked), strict=True):
                         column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, names, strict=True)], names=schema.names)
 

@@ -69,3 +69,23 @@ def test_every_planted_item_is_found(spark):
     want = {(r.doc_id, i) for r in docs.collect() for text in [b" " + b" ".join(words_of(r.text)) + b" "] for i, x in held if x in text}
     got = {(r.doc_id, r.item_id) for r in decontaminate.find(docs, bench).where("leaked").collect()}
     assert want and got == want
+
+
+def test_edited_copies(spark):
+    w = lambda kind, *numbers: " ".join(f"{kind}{i}" for i in numbers)
+    items = [
+        (1, f"Two words. {w('l', *range(33)).title()}."), (2, f"{w('q', *range(30))}. One two three."), (3, f"{w('a', *range(12))}. {w('b', *range(20))}."),
+    ]
+    asked, answer = w("a", *range(11)), w("b", *range(20))
+    docs = [
+        (10, w("l", *range(33))),  # a short question is missing
+        (11, f"{w('q', *range(14))} changed {w('q', *range(15, 30))} one two four"),  # one word changed in the question, one in a short answer
+        (12, f"{asked} {w('b', *reversed(range(20)))} {'prose ' * 500} {w('a', *range(4, 12))} {answer}"),  # the first passage has more of the question, the second the answer
+        (13, f"{w('q', *range(12))} {w('q', *reversed(range(12, 30)))} one two three"),  # all words, but few in their order
+        (14, f"{asked} {w('b', *reversed(range(20)))}"),
+    ]
+    got = decontaminate.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r.doc_id for r in got} == {10, 11, 12, 13, 14}
+    assert {(r.doc_id, r.item_id) for r in got if r.leaked} == {(10, 1), (11, 2), (12, 3)}
+    (r,) = [r for r in got if r.doc_id == 12]
+    assert (r.question_share, r.answer_share) == (0.5, 1)
