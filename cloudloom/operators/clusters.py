@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from cloudloom.functions.geometry import AXES
 from cloudloom.operators.neighbors import nearest, within
-from cloudloom.sources.shared import saved
+from cloudloom.sources.shared import forget, saved, shared_folder
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """Links (a, b) to (node, root), root being the smallest node of the component: alternating large-star and small-star steps."""
+def components(edges: DataFrame) -> DataFrame:
+    """Links (a, b) to (node, root), root being the smallest node of the component: alternating large-star and small-star steps until nothing moves."""
+    spark = edges.sparkSession
 
     def star(edges: DataFrame, large: bool) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -23,14 +24,20 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             out = lower.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(lower.select("a", F.col("m").alias("b")))
         return out.where("a <> b").distinct()
 
-    edges, state = saved(edges.select("a", "b").where("a <> b").distinct()), None
-    for _ in range(most_rounds):
-        edges = saved(star(star(edges, True), False))
-        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == state:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        state = now
-    raise RuntimeError("the components did not settle")
+    def written(edges: DataFrame) -> tuple[DataFrame, str, tuple]:
+        folder = shared_folder(spark)
+        edges = saved(edges, folder)
+        return edges, folder, tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+    # Each link from its larger to its smaller end, as a round leaves them: a star that points at its root is settled at once.
+    edges, folder, state = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    while state[0]:
+        after, at, now = written(star(star(edges, True), False))
+        forget(spark, folder)
+        same, edges, folder, state = now == state, after, at, now
+        if same:
+            break
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
 def ranked(df: DataFrame, order: list[str], start: int = 0) -> DataFrame:

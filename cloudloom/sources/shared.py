@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder inside spark.checkpoint.dir, which is set here only where it is unset."""
+    """A new folder inside spark.checkpoint.dir. Where that is unset, a local run gets a temporary one; on a cluster it must be set, as executors see no folder of the driver's."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
@@ -28,3 +31,22 @@ def forget(spark: SparkSession, folder: str) -> None:
     """Delete a folder that saved wrote, once what was made of it is written too."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Workspace:
+    """The intermediate tables of one job: with Workspace(spark) as work, work.keep(df) writes one, and all of them are deleted at the end, when the result is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folders = spark, []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.folders.append(shared_folder(self.spark))
+        return saved(df, self.folders[-1])
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *error) -> None:
+        for folder in self.folders:
+            forget(self.spark, folder)
+        self.folders = []
