@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from cloudloom.functions.geometry import AXES
 from cloudloom.operators.neighbors import nearest, within
-from cloudloom.sources.shared import forget, saved, shared_folder
+from cloudloom.sources.shared import Workspace, forget, saved, shared_folder
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """Links (a, b) to (node, root), root being the smallest node of the component: alternating large-star and small-star steps until nothing moves."""
+def components(edges: DataFrame, work: Workspace | None = None) -> DataFrame:
+    """Links (a, b) to (node, root), root being the smallest node of the component: alternating large-star and small-star steps until nothing moves.
+
+    The result reads a table in the shared folder; work, if given, deletes it.
+    """
     spark = edges.sparkSession
 
     def star(edges: DataFrame, large: bool) -> DataFrame:
@@ -37,6 +40,8 @@ def components(edges: DataFrame) -> DataFrame:
         same, edges, folder, state = now == state, after, at, now
         if same:
             break
+    if work is not None:
+        work.folders.append(folder)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
