@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudloom.sources.shared import forget, saved, shared_folder  # noqa: F401
+from cloudloom.sources.shared import Workspace, forget, saved, shared_folder  # noqa: F401
 
 #: The separators of words: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"

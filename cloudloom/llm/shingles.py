@@ -1,7 +1,8 @@
 """Sets of hashed word shingles.
 
 A text is lower-cased (A-Z); words are what stands between space and U+0009 to U+000D. Its set holds the 64-bit hashes of its
-distinct shingles of five words; of one to four words, that of the whole sequence; without words it is empty.
+distinct shingles of five words; of one to four words, that of the whole sequence; without words it is empty. Hashes are keyed sums of
+mixed numbers: two given shingles share one with probability 2**-64, unless a text was made with the keys in mind.
 """
 
 from __future__ import annotations
@@ -12,15 +13,12 @@ SIZE = 5
 #: Texts are hashed in pieces of about this many bytes.
 PIECE = 1 << 20
 
-_RANDOM = np.random.default_rng(20240601)
-_BYTES = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BYTES[65:91] = _BYTES[97:123]
+_KEYS = np.random.default_rng(20240601).integers(1, 2**63, SIZE + 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PLACES, _LETTER, _PLACE = _KEYS[:SIZE], _KEYS[SIZE], _KEYS[SIZE + 1]
+_LOWER = np.arange(256, dtype=np.uint64)
+_LOWER[65:91] += np.uint64(32)
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
-_BYTES[_SEPARATOR] = 0
-_PLACES = _RANDOM.integers(1, 2**63, SIZE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -30,29 +28,21 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64."""
-    size = 1 << max(20, (n - 1).bit_length())
-    if size not in _POWERS:
-        _POWERS.clear()
-        tables = []
-        for base in (_BASE, pow(_BASE, -1, 2**64)):
-            table = np.full(size, base, np.uint64)
-            table[0] = 1
-            tables.append(np.multiply.accumulate(table))
-        _POWERS[size] = (tables[0], tables[1])
-    return _POWERS[size]
-
-
 def _words(piece: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, starts) of the words of a piece that is cut at separators."""
+    """(hashes, starts) of the words of a piece that is cut at separators.
+
+    A word's hash is the sum of a mixed number for each of its bytes and their places in it, mixed once more with its length.
+    """
     raw = np.frombuffer(piece, np.uint8)
     inside = np.concatenate([[False], ~_SEPARATOR[raw], [False]])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
-    starts, ends = edges[::2], edges[1::2]
-    power, inverse = _powers(len(raw) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[raw] * power[: len(raw)], dtype=np.uint64)])
-    return mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)), starts
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    if not len(starts):
+        return np.zeros(0, np.uint64), starts
+    ends = np.cumsum(sizes)
+    places = np.arange(int(ends[-1]), dtype=np.uint64) - np.repeat(ends - sizes, sizes).astype(np.uint64)
+    letters = mixed(_LOWER[raw[inside[1:-1]]] * _LETTER + places * _PLACE)
+    return mixed(np.add.reduceat(letters, ends - sizes) + sizes.astype(np.uint64) * _LETTER), starts
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -96,11 +86,10 @@ def sets(texts: list[str | None]) -> list[np.ndarray]:
     return out
 
 
-def digest(own: np.ndarray) -> tuple[int, int]:
-    """128 bits that equal sets share."""
+def digest(own: np.ndarray) -> int:
+    """64 bits that equal sets share."""
     with np.errstate(over="ignore"):
-        both = [int(np.sum(mixed(own * np.uint64(c)), dtype=np.uint64).view(np.int64)) for c in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
-    return both[0], both[1]
+        return int(np.sum(mixed(own * np.uint64(0xD6E8FEB86659FD93)), dtype=np.uint64).view(np.int64))
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
