@@ -11,28 +11,44 @@ Defined results: of several calls (or results) with one conversation and identif
 smallest text, counts; the rest are repeats and ignored, and so are rows with a null conversation or identifier. A call without a result has
 result null; a result without a call is an orphan, listed by identifier. Identifiers in ``uses`` that no call has are ignored.
 Calls in a cycle come last, by turn and identifier, with "cyclic" true. Null, unreadable or non-object arguments and unknown tools
-are invalid. Empty tables give an empty result. Extra columns are ignored.
+are invalid; what can't be read (also NaN, infinities and what is nested deeper than the interpreter's limit) stands in the JSON as the text that it is. Of equal keys
+of an object the last counts. Halves of surrogate pairs are written as escapes. Empty tables give an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+HALF = re.compile("[\ud800-\udfff]")
 KINDS = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict}
 
 
+def parsed(arguments: str | None) -> tuple[bool, object]:
+    """(whether JSON text could be read, its value, else the text itself). What JSON has no form for (NaN, infinities), and what is nested too deep to be read or written, can't be read."""
+    if arguments is None:
+        return False, None
+    try:
+        value = json.loads(arguments)
+        canonical(value)
+    except (ValueError, RecursionError):
+        return False, arguments
+    return True, value
+
+
 def valid(arguments: str | None, schema: dict | None) -> bool:
     """Whether JSON text is an object with the schema's required properties, no others, of the right types and lengths."""
-    try:
-        value = json.loads(arguments) if arguments is not None else None
-    except ValueError:
-        return False
+    readable, value = parsed(arguments)
+    return readable and fits(value, schema)
+
+
+def fits(value: object, schema: dict | None) -> bool:
     if schema is None or not isinstance(value, dict):
         return False
     known = schema.get("properties", {})
@@ -50,7 +66,9 @@ def valid(arguments: str | None, schema: dict | None) -> bool:
 
 
 def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    """Sorted keys, no spaces, characters as they are but for halves of surrogate pairs, which UTF-8 has no form for and which are written as escapes."""
+    text = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    return HALF.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
 
 
 def ordered(calls: list[dict]) -> tuple[list[dict], int]:
@@ -90,15 +108,12 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
 
     def formatted(rows: list[dict]) -> tuple:
         calls, late = ordered([r for r in rows if r["called"]])
-        good = [valid(c["arguments"], schemas.get(c["name"])) for c in calls]
+        values = [parsed(c["arguments"]) for c in calls]
+        good = [readable and fits(value, schemas.get(c["name"])) for c, (readable, value) in zip(calls, values, strict=True)]
         orphans = sorted(r["id"] for r in rows if not r["called"])
         listed = []
-        for k, (c, ok) in enumerate(zip(calls, good, strict=True)):
-            try:
-                arguments = json.loads(c["arguments"]) if c["arguments"] is not None else None
-            except ValueError:
-                arguments = c["arguments"]
-            entry = {"arguments": arguments, "id": c["id"], "name": c["name"], "result": c["content"], "valid": ok}
+        for k, (c, ok, (_, value)) in enumerate(zip(calls, good, values, strict=True)):
+            entry = {"arguments": value, "id": c["id"], "name": c["name"], "result": c["content"], "valid": ok}
             listed.append(entry | ({"cyclic": True} if k >= len(calls) - late else {}))
         text = canonical({"calls": listed, "orphans": orphans})
         return len(calls), sum(bool(c["answered"]) for c in calls), len(orphans), good.count(False), [c["id"] for c in calls], text
