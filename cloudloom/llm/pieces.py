@@ -16,7 +16,8 @@ don't: with them among its scores the library rounds every comparison).
 
 Defined results: a null text gives a count of 0 and a null list of pieces, an empty text 0 and an empty list. Texts of any length are cut
 into chunks first; a chunk without spaces is walked once, in memory proportional to its length. Repeated rows give equal
-results, as the seed comes from the row's key alone (a null key counts as 0). Extra columns pass through; columns named like the output
+results, as the seed comes from the row's key alone (a null key counts as 0, one that is no whole number as its digest), and neither the other rows of
+a task nor the order in which chunks are met change a result. Extra columns pass through; columns named like the output
 are replaced.
 """
 
@@ -31,7 +32,7 @@ from math import exp, inf, log
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -76,6 +77,11 @@ def of_model(model) -> Vocabulary:
     return Vocabulary(pieces, sorted(bytes_, key=lambda i: surfaces[i]), surfaces)
 
 
+def shared_vocabulary(spark: SparkSession, vocabulary: Vocabulary):
+    """A broadcast, as large as the vocabulary's file, of plain tuples: workers that have no copy of this package can read it."""
+    return spark.sparkContext.broadcast((vocabulary.pieces, vocabulary.bytes_, vocabulary.surfaces))
+
+
 class Lattice:
     """The segmentations of chunks: an Aho-Corasick automaton lists the pieces that end at each character."""
 
@@ -283,18 +289,19 @@ class Walk:
         return count[self.end], best[self.end]
 
     def filter(self, alpha: float) -> None:
-        """Forward filtering: the cumulated probabilities of the pieces of each end, as numbers that grow from group to group by one."""
+        """Forward filtering: the cumulated probabilities of the pieces of each end, from 0 to 1, summed inside the end's own group alone."""
         total, self.cumulated, self.group_of = np.zeros(self.length), np.empty(len(self.stop)), np.zeros(self.length, np.int64)
         number = 0
         for own, begins, sizes, ends in self.each():
             logs = total[self.start[own]] + alpha * self.score[own]
             top = np.maximum.reduceat(logs, begins)
             weight = np.exp(logs - np.repeat(top, sizes))
-            mass = np.add.reduceat(weight, begins)
+            for k in range(1, int(sizes.max())):
+                at = begins[sizes > k] + k
+                weight[at] += weight[at - 1]
+            mass = weight[begins + sizes - 1]
             total[ends] = top + np.log(mass)
-            share = np.cumsum(weight / np.repeat(mass, sizes))
-            before = np.concatenate([[0.0], share])[begins]
-            self.cumulated[own] = share - np.repeat(before, sizes) + np.repeat(number + np.arange(len(begins)), sizes)
+            self.cumulated[own] = weight / np.repeat(mass, sizes)
             self.group_of[ends] = number + np.arange(len(begins))
             number += len(begins)
         self.bounds = np.append(self.groups, len(self.stop))
@@ -315,7 +322,7 @@ class Filtered:
         self.begin, self.end = join(self.begin, walk.begin + self.length, np.int64), join(self.end, walk.end + self.length, np.int64)
         self.start = join(self.start, walk.start + self.length, np.int32)
         self.kind = join(self.kind, np.where(walk.kind >= n, walk.kind + len(self.codes), walk.kind), np.int32)
-        self.group_of, self.cumulated = join(self.group_of, walk.group_of + groups, np.int32), join(self.cumulated, walk.cumulated + groups, float)
+        self.group_of, self.cumulated = join(self.group_of, walk.group_of + groups, np.int32), join(self.cumulated, walk.cumulated, float)
         self.bounds = join(self.bounds[:-1], walk.bounds + self.bounds[-1], np.int64)
         self.codes = join(self.codes, walk.codes, np.int64)
         self.chunks += len(found)
@@ -329,8 +336,11 @@ class Filtered:
             while len(active):
                 u = (mixed(keys[active] + np.uint64((step + 1) * GOLDEN % 2**64)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
                 group = self.group_of[at[active]].astype(np.int64)
-                pick = np.searchsorted(self.cumulated, group + u, side="right")
-                pick = np.clip(pick, self.bounds[group], self.bounds[group + 1] - 1)
+                pick, high = self.bounds[group], self.bounds[group + 1] - 1
+                while (pick < high).any():  # bisection inside each group
+                    middle = (pick + high) >> 1
+                    over = self.cumulated[middle] <= u
+                    pick, high = np.where(over & (pick < high), middle + 1, pick), np.where(over, high, middle)
                 parts.append((active, self.kind[pick]))
                 at[active] = self.start[pick]
                 active = active[at[active] > first[active]]
@@ -475,10 +485,10 @@ def token_counts(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") ->
     """docs with n_tokens (long) and token_score (double): the best segmentation's count and score."""
     docs = docs.drop("n_tokens", "token_score")
     schema = T.StructType([*docs.schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("token_score", T.DoubleType())])
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # as large as the vocabulary file
+    shared = shared_vocabulary(docs.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, known, rated = Lattice(shared.value), Chunks(), [np.zeros(0, np.int64), np.zeros(0)]
+        lattice, known, rated = Lattice(Vocabulary(*shared.value)), Chunks(), [np.zeros(0, np.int64), np.zeros(0)]
         for batch in batches:
             for part in slices(batch, text):
                 if len(known) > MOST_KNOWN:
@@ -506,42 +516,39 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: s
 
     verify adds lossless: whether decoding the pieces gives the text again (null for a null text).
     """
-    docs = docs.drop("pieces", *["lossless"] * verify)
+    docs = docs.drop("pieces", "_key", *["lossless"] * verify)
+    own = F.col(key).cast("long") if isinstance(docs.schema[key].dataType, T.IntegralType) else F.xxhash64(key)
     schema = T.StructType([*docs.schema.fields, T.StructField("pieces", T.ArrayType(T.IntegerType())), *[T.StructField("lossless", T.BooleanType())] * verify])
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = shared_vocabulary(docs.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler, surfaces = Sampler(Lattice(shared.value, alpha), seed), shared.value.surfaces
+        sampler, surfaces = Sampler(Lattice(Vocabulary(*shared.value), alpha), seed), shared.value[2]
         for batch in batches:
             for part in slices(batch, text, 2 << 20):
-                texts, keys = part.column(text).to_pylist(), part.column(key).to_pylist()
-                flat, sizes = sampler.encode_all(texts, [int(k or 0) for k in keys])
+                texts = part.column(text).to_pylist()
+                flat, sizes = sampler.encode_all(texts, part.column("_key").to_pylist())
                 ends = np.concatenate([[0], np.cumsum(sizes)])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat), mask=pa.array([t is None for t in texts]))
                 extra = []
                 if verify:
                     same = [None if t is None else decoded(flat[a:b].tolist(), surfaces) == t for t, a, b in zip(texts, ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
                     extra = [pa.array(same, pa.bool_())]
-                yield pa.RecordBatch.from_arrays([*part.columns, lists, *extra], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists, *extra], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.withColumn("_key", F.coalesce(F.when(F.col(key).isNotNull(), own), F.lit(0).cast("long"))).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, pieces: str = "pieces", to: str = "decoded") -> DataFrame:
     """encoded with the texts of its lists of pieces (null for a null list)."""
     encoded = encoded.drop(to)
     schema = T.StructType([*encoded.schema.fields, T.StructField(to, T.StringType())])
-    shared = encoded.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = shared_vocabulary(encoded.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        surfaces = shared.value.surfaces
+        surfaces = shared.value[2]
         for batch in batches:
             texts = [None if ids is None else decoded(ids, surfaces) for ids in batch.column(pieces).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=schema.names)
 
     return encoded.mapInArrow(run, schema)
 
-
-def integer_key(column: str) -> Column:
-    """A whole-number key for rows whose own key is none."""
-    return F.xxhash64(column)
