@@ -9,7 +9,7 @@ WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
 
 def brute(text):
-    """Base columns by plain word lists, and labels by the bounded-error search over the whole text without seeds."""
+    """Base columns by plain word lists, and labels by the bounded-error search over the whole text without seeds; of overlapping matches the best stays."""
     lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     words = WORD.findall(lowered)
     starts, base = [], set()
@@ -20,7 +20,17 @@ def brute(text):
                 starts.append(i)
                 base.add(label)
     joined = f" {' '.join(words)} " if words else ""
-    labels = {label for notice, label in licenses.NOTICES if regex.search(f"(?:{regex.escape(notice)}){{e<={licenses.edits_allowed(notice)}}}", joined)}
+    found = []
+    for notice, label in licenses.NOTICES:
+        for m in regex.finditer(f"(?:{regex.escape(notice)}){{e<={licenses.edits_allowed(notice)}}}", joined, regex.ENHANCEMATCH):
+            around = re.search(r"\S*$", joined[: m.start()])[0] + m.group() + re.match(r"\S*", joined[m.end() :])[0]
+            if re.search(".*".join([r"\b%s\b" % w for w in notice.split() if w in licenses.FIXED]), around):
+                found.append((sum(m.fuzzy_counts) / len(notice), m.start() - m.end(), m.start(), m.end(), label))
+    labels, spans = set(), []
+    for _, _, start, end, label in sorted(found):
+        if all(end <= a or start >= b for a, b in spans):
+            spans.append((start, end))
+            labels.add(label)
     return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels))
 
 
@@ -83,12 +93,23 @@ def test_neighbouring_notices_of_different_edits():
             parts += [rng.choice(["", "by", "and so on"]), "".join(chars)]
         text = f" {' '.join(' '.join(parts).split())} "
         want = []
-        for k, (known, label) in enumerate(licenses.NOTICES):
+        for k, (known, _) in enumerate(licenses.NOTICES):
             end = 0
             for m in finder.patterns[k].finditer(text):  # the whole text, without seeds
                 assert edits_to(known, m.group(), False) == sum(m.fuzzy_counts) <= licenses.edits_allowed(known)
                 assert edits_to(known, text[end : m.start()], True) > licenses.edits_allowed(known)
                 end = m.end()
-                want.append((label, m.start(), end, sum(m.fuzzy_counts)))
+                want.append((k, m.start(), end, sum(m.fuzzy_counts)))
             assert edits_to(known, text[end:], True) > licenses.edits_allowed(known)  # nothing is left between matches or after them
-        assert [x[:4] for x in finder.fuzzy(text)] == sorted(want)
+        assert sorted(finder.matches(text)) == sorted(want)
+
+
+def test_one_notice_for_each_place():
+    finder = licenses.Finder()
+    labels = lambda text: finder.scan(text)[5]
+    assert labels("Licensed under CC BY-NC 4.0") == "cc-by,cc-by-nc"
+    assert labels("Licensed under CC BY-SA 4.0") == "cc-by,cc-by-sa"
+    assert labels("Licensed under CC BY-ND 4.0") == "cc-by"
+    assert labels("licensed under the gnu lesser general public license") == "lgpl" and labels("licensed under the nit license") == ""
+    both = finder.scan("Licensed under CC BY-SA 4.0. Also licenced under CC BY-NC 4.0.")[7]
+    assert [(n["label"], n["first_word"], n["last_word"], n["edits"]) for n in both] == [("cc-by-sa", 0, 6, 0), ("cc-by-nc", 8, 14, 1)]
