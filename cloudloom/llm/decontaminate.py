@@ -9,8 +9,8 @@ retrieved is checked, each passage by itself: the shares of the question's, of t
 the whole item's word n-grams that the passage holds. The last share finds what is nearly whole where a question or an answer
 is too short for a share of its own.
 
-The index is cut into shards of at most ``shard_words`` words, each broadcast in its turn, so its size on an executor is
-bounded whatever the benchmark's; training documents are never shuffled.
+The index is cut into shards of about ``shard_words`` words, each broadcast in its turn as plain lists and arrays, so its size on an executor is
+bounded whatever the benchmark's (block bounds are kept sparse, one for each term of a block); training documents are never shuffled.
 
 Defined results: null and empty texts and items without words match nothing. Of several passages of a row that hold an item the one with the
 largest shares, then the best score is reported, a leaked one before any other, so there is one result for each row of documents and item; repeated rows repeat it.
@@ -34,6 +34,7 @@ from cloudloom.llm.common import saved, slices
 from cloudloom.llm.licenses import words_of
 
 K1, B, BLOCK = 1.2, 0.75, 4
+UPPER, LOWER, NO_WORD = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 
@@ -56,7 +57,10 @@ class Index:
 
     terms: dict[bytes, int] = field(default_factory=dict)
     blocks: list[dict[int, tuple[list[int], list[float], float]]] = field(default_factory=list)
-    most: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))  # terms x blocks: the largest impacts
+    #: The largest impacts, sparse: term t has tops[begins[t]:begins[t + 1]] in the blocks where[begins[t]:begins[t + 1]].
+    begins: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    where: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    tops: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
     checks: list[tuple[object, set, set, set]] = field(default_factory=list)  # item's key, n-grams of question, answer and the whole
     longest: int = 1
 
@@ -88,8 +92,9 @@ class Index:
 
 def postings(benchmark: DataFrame, item: str, text: str) -> tuple[DataFrame, DataFrame]:
     """(items with their words, impacts of each item's terms): BM25 over all items, as a share of the item's own score."""
-    split = F.udf(lambda t: [w.decode() for w in words_of(t)] if t else [], "array<string>")  # as many rows as test items
-    rows = benchmark.select(F.col(item).alias("item"), F.col(text).alias("text"), split(text).alias("words")).where(F.size("words") > 0)
+    # Words as licenses.words_of makes them, by built-in functions; written, as several steps read them.
+    words = F.filter(F.split(F.translate(F.col(text), UPPER, LOWER), NO_WORD), lambda w: w != "")
+    rows = saved(benchmark.select(F.col(item).alias("item"), F.col(text).alias("text"), words.alias("words")).where(F.size("words") > 0))
     counted = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("words")).alias("mean"))
     tf = rows.select("item", "text", F.size("words").alias("size"), F.explode("words").alias("term")).groupBy("item", "text", "size", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -114,14 +119,13 @@ def build(rows: list, n: int) -> Index:
             t = index.terms.setdefault(term.encode(), len(index.terms))
             items, impacts, top = index.blocks[-1].get(t, ([], [], 0.0))
             index.blocks[-1][t] = ([*items, number], [*impacts, impact], max(top, impact))
-    index.most = np.zeros((len(index.terms), len(index.blocks)), np.float32)
-    for b, lists in enumerate(index.blocks):
-        for t, (_, _, top) in lists.items():
-            index.most[t, b] = top
+    bounds = sorted((t, b, top) for b, lists in enumerate(index.blocks) for t, (_, _, top) in lists.items())
+    index.begins = np.searchsorted([t for t, _, _ in bounds], np.arange(len(index.terms) + 1))
+    index.where, index.tops = np.array([b for _, b, _ in bounds], np.int32), np.array([top for _, _, top in bounds], np.float32)
     return index
 
 
-def candidates(texts: list[list[bytes]], index: Index, least: float, most_cells: int = 1 << 23) -> Iterator[tuple[int, int, list[int], list[int]]]:
+def candidates(texts: list[list[bytes]], index: Index, least: float, most_cells: int = 1 << 21) -> Iterator[tuple[int, int, list[int], list[int]]]:
     """(text, first word of a passage, its terms, blocks that may hold an item of it): what the block bounds leave of all passages."""
     step, width = index.longest, max(1, len(index.terms))
     sizes = np.array([len(w) for w in texts])
@@ -136,11 +140,18 @@ def candidates(texts: list[list[bytes]], index: Index, least: float, most_cells:
     passage, term = pairs // width, pairs % width
     begins = np.flatnonzero(np.diff(passage, prepend=-1))
     ends = np.append(begins[1:], len(passage))
-    rows = max(1, most_cells // max(1, len(index.blocks)))
+    blocks = max(1, len(index.blocks))
+    cost = np.append(0, np.cumsum((index.begins[term + 1] - index.begins[term])))  # bounds up to each pair
     at = 0
     while at < len(begins):
-        upto = max(at + 1, int(np.searchsorted(ends, begins[at] + rows, side="right")))
-        bounds = np.add.reduceat(index.most[term[begins[at] : ends[upto - 1]]], begins[at:upto] - begins[at], axis=0)
+        # So many passages that neither their cells nor their bounds take much memory, one at least.
+        upto = min(at + max(1, most_cells // blocks), int(np.searchsorted(cost[ends], cost[begins[at]] + most_cells, side="right")))
+        upto = max(at + 1, upto)
+        own = term[begins[at] : ends[upto - 1]]
+        n = index.begins[own + 1] - index.begins[own]
+        places = np.arange(int(n.sum())) + np.repeat(index.begins[own] - (np.cumsum(n) - n), n)
+        row = np.repeat(np.repeat(np.arange(upto - at), ends[at:upto] - begins[at:upto]), n)
+        bounds = np.bincount(row * blocks + index.where[places], index.tops[places], (upto - at) * blocks).reshape(upto - at, blocks)
         found = bounds >= least - 1e-4
         for k in np.flatnonzero(found.any(axis=1)):
             number = int(passage[begins[at + k]])
@@ -199,12 +210,13 @@ def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
 
 
 def _search(docs: DataFrame, index: Index, schema: T.StructType, key: str, text: str, item: str, least: float, n: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    # Plain values, so that workers that have no copy of this package can read them.
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(vars(index).values()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        index, names = shared.value, to_arrow_schema(schema)
+        index, names = Index(*shared.value), to_arrow_schema(schema)
         for batch in batches:
             out: list[list] = [[] for _ in schema]
             for part in slices(batch, text):
