@@ -25,6 +25,11 @@ def unmoved() -> Column:
     return F.floor(F.rand(0)).cast("long")
 
 
+def lookup(table: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
+    """table, a written one with a few numbers a row, hinted to be broadcast if it is counted to have most_rows rows at most; beyond that, joins with it shuffle."""
+    return F.broadcast(table) if table.count() <= most_rows else table
+
+
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about most_bytes of text each; a longer single text is a part of its own."""
     sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
