@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cloudloom.llm.common import saved, slices
+from cloudloom.llm.common import lookup, saved, slices
 from cloudloom.llm.licenses import words_of
 
 K1, B, BLOCK = 1.2, 0.75, 4
@@ -236,4 +236,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     named = docs.withColumn("_key", F.struct(F.col(key).alias("id"), F.when(F.col(key).isNull(), F.md5(text)).alias("own")))
     leaks = find(named, benchmark, "_key", text, **options).where("leaked").select(F.col("_key.id").alias("_id"), F.col("_key.own").alias("_own")).distinct()
     same = F.col("_key.id").eqNullSafe(F.col("_id")) & F.col("_key.own").eqNullSafe(F.col("_own"))
-    return named.join(leaks, same, "left_anti").drop("_key")
+    return named.join(lookup(saved(leaks)), same, "left_anti").drop("_key")

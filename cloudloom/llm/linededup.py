@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloudloom.llm.common import saved, shared_folder, unmoved
+from cloudloom.llm.common import lookup, saved, shared_folder, unmoved
 
 #: log2 of the sketch's registers, and the relative error of an estimate (1.04 / sqrt(registers)) times 4.
 LG_K = 10
@@ -66,7 +66,8 @@ def dedup_lines(docs: DataFrame, id_: str = "doc_id", text: str = "text", site:
     gone = lines.join(known, "key").where(~at_first)
     # One row a document with the places to remove; a document's lines already share one row of the input.
     gone = gone.select(F.col("id").alias("_id"), F.col("own").alias("_own"), "pos").distinct().groupBy("_id", "_own").agg(F.collect_list("pos").alias("_gone"))
-    joined = docs.join(gone, F.col(id_).eqNullSafe(F.col("_id")) & _own(id_, text).eqNullSafe(F.col("_own")), "left").withColumn("_parts", F.split(text, "\n"))
+    # Texts are shuffled only where the places are too many for a broadcast.
+    joined = docs.join(lookup(saved(gone)), F.col(id_).eqNullSafe(F.col("_id")) & _own(id_, text).eqNullSafe(F.col("_own")), "left").withColumn("_parts", F.split(text, "\n"))
     kept = F.array_except(F.sequence(F.lit(0), F.size("_parts") - 1), F.col("_gone"))
     return joined.withColumns({
         text: F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(kept, lambda i: F.get("_parts", i)), "\n")),
