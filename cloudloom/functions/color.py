@@ -66,3 +66,12 @@ def is_red(r: Column, g: Column, b: Column) -> Column:
 def paint_color(r: Column, g: Column, b: Column) -> Column:
     """The colour of a paint from its brightest cluster's mean: green where red and blue stay under 0.65 of green."""
     return F.when((r / g < 0.65) & (b / g < 0.65), "green").otherwise("white")
+
+
+def detected_paint(cloud: DataFrame, by: str) -> DataFrame:
+    """(by, paint): the paint that the mean colour of each group is taken for."""
+    return cloud.groupBy(by).agg(*[F.avg(c).alias(c) for c in "rgb"]).select(by, paint_color(F.col("r"), F.col("g"), F.col("b")).alias("paint"))
+
+
+def not_black(cloud: DataFrame) -> DataFrame:
+    return cloud.where("r <> 0 OR g <> 0 OR b <> 0")

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 AXES = ("x", "y", "z")
-#: Turns z-up scans onto the reference's axes: (x, y, z) to (y, z, x).
-PERMUTATION = [[0.0, 1.0, 0.0, 0.0], [0.0, 0.0, 1.0, 0.0], [1.0, 0.0, 0.0, 0.0], [0.0, 0.0, 0.0, 1.0]]
+#: The axes of scans onto those of the models, (x, y, z) to (z, x, y).
+PERMUTATION = [[0.0, 0.0, 1.0, 0.0], [1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0], [0.0, 0.0, 0.0, 1.0]]
+#: The radius of a curve's cylinders, and their height over the length of their edge.
+RADIUS, OVERLAP = 0.2, 2
 
 
 def scale(cloud: DataFrame, factor: float) -> DataFrame:
@@ -24,6 +26,11 @@ def affine(cloud: DataFrame, matrix: list[list[float]], normals: bool = False) -
     return cloud.withColumns(out)
 
 
+def inverted(cloud: DataFrame, where: Column) -> DataFrame:
+    """cloud with the normals turned round of the rows that where holds for."""
+    return cloud.withColumns({f"n{a}": F.when(where, -F.col(f"n{a}")).otherwise(F.col(f"n{a}")) for a in AXES})
+
+
 def cell(value: Column, size: float | Column, origin: float | Column = 0.0) -> Column:
     return F.floor((value - origin) / size)
 
@@ -36,5 +43,5 @@ def cylinders(edges: DataFrame) -> DataFrame:
     out = edges.withColumns({"length": length, "flat": flat, "dx": d["x"], "dy": d["y"], "dz": d["z"]}).where("length > 0")
     return out.select(
         *[c for c in edges.columns], F.when(F.col("flat") == 0, 0.0).otherwise(-F.col("dy") / F.col("flat")).alias("axis_x"), F.when(F.col("flat") == 0, 0.0).otherwise(F.col("dx") / F.col("flat")).alias("axis_y"),
-        F.when(F.col("flat") == 0, 0.0).otherwise(F.acos(F.col("dz") / F.col("length"))).alias("angle"), (F.col("length") * 2).alias("height"), F.lit(0.2).alias("radius"),
+        F.when(F.col("flat") == 0, 0.0).otherwise(F.acos(F.col("dz") / F.col("length"))).alias("angle"), (F.col("length") * OVERLAP).alias("height"), F.lit(RADIUS).alias("radius"),
     )

@@ -18,8 +18,10 @@ def rounded(df, *columns):
 
 
 def seed_region(cloud):
-    """A thin part of two segments, to be recovered."""
-    return cloud.where("point_id % 40 = 0 AND segment_id < 2")
+    """What the full cloud is recovered from: the highest and lowest point of each column, of every segment."""
+    ends = voxel.column_extrema(cloud, 2.0)
+    ids = ends.select(F.col("max_id").alias("point_id")).union(ends.select("min_id")).distinct()
+    return cloud.join(ids, "point_id", "left_semi")
 
 
 def _recovered(s, d):
@@ -41,12 +43,12 @@ QUERIES = {
     "grayscale": lambda s, d: rounded(color.grayscale(events_cloud(s, d)).select("point_id", *"rgb"), *"rgb"),
     "threshold_gray": lambda s, d: color.threshold(color.grayscale(events_cloud(s, d)), 100.5).select("point_id", *"rgb"),
     "paint_uniform": lambda s, d: color.paint(events_cloud(s, d), (0.7, 0.7, 0.7)).select("point_id", *"rgb"),
-    "paint_detection": lambda s, d: events_cloud(s, d).groupBy("segment_id").agg(*[F.avg(c).alias(c) for c in "rgb"]).select("segment_id", color.paint_color(F.col("r"), F.col("g"), F.col("b")).alias("paint")),
-    "not_all_black": lambda s, d: color.threshold(color.grayscale(events_cloud(s, d)), 100.5).where("r <> 0 OR g <> 0 OR b <> 0").select("point_id"),
+    "paint_detection": lambda s, d: color.detected_paint(events_cloud(s, d), "segment_id"),
+    "not_all_black": lambda s, d: color.not_black(color.threshold(color.grayscale(events_cloud(s, d)), 100.5)).select("point_id"),
     "scale_cloud": lambda s, d: rounded(geometry.scale(events_cloud(s, d), 1 / 600).select("point_id", "x", "y", "z"), "x", "y", "z"),
     "affine_transform": lambda s, d: rounded(geometry.affine(embeddings_cloud(s, d), MATRIX, normals=True).select("point_id", "x", "y", "z", "nx", "ny", "nz"), "x", "y", "z", "nx", "ny", "nz"),
     "axis_permutation": lambda s, d: rounded(geometry.affine(events_cloud(s, d), geometry.PERMUTATION).select("point_id", "x", "y", "z"), "x", "y", "z"),
-    "invert_normals": lambda s, d: rounded(embeddings_cloud(s, d).select("point_id", *[F.when(F.col("label") < 3, -F.col(c)).otherwise(F.col(c)).alias(c) for c in ("nx", "ny", "nz")]), "nx", "ny", "nz"),
+    "invert_normals": lambda s, d: rounded(geometry.inverted(embeddings_cloud(s, d), F.col("label") < 3).select("point_id", "nx", "ny", "nz"), "nx", "ny", "nz"),
     "column_extrema": lambda s, d: voxel.column_extrema(events_cloud(s, d)),
     "region_recovery_6rounds": lambda s, d: _recovered(s, d).select("segment_id", "point_id"),
     "recovery_ratio": _ratio,
@@ -61,7 +63,7 @@ _COLOR = lambda test: f"SELECT point_id, x, y, z FROM {EVENTS_SQL} WHERE {test}"
 _BOX = " OR ".join("(" + " AND ".join(f"{c} * 255 >= {a} AND {c} * 255 <= {b}" for c, a, b in zip("rgb", low, high, strict=True)) + ")" for low, high in BOXES)
 _GRAY = "(r * 0.2989::DOUBLE + g * 0.5870::DOUBLE + b * 0.1140::DOUBLE)"
 _METRICS = f"(SELECT count(*) AS n, {', '.join(f'min({a}) AS min_{a}, max({a}) AS max_{a}, max({a}) - min({a}) AS d{a}' for a in 'xyz')} FROM {EVENTS_SQL})"
-_SIZE = "CASE WHEN n / (dx * dy * dz) >= 0.01 THEN round(pow(dx * dy * dz / floor(dx * dy * dz * 2), 1.0::DOUBLE / 3), 9) END"
+_SIZE = "CASE WHEN n / (dx * dy * dz) >= 0.01 AND floor(dx * dy * dz * 2) > 0 THEN round(pow(dx * dy * dz / floor(dx * dy * dz * 2), 1.0::DOUBLE / 3), 9) END"
 
 
 def _embeddings(columns: str, tail: str = "") -> str:
@@ -71,7 +73,7 @@ def _embeddings(columns: str, tail: str = "") -> str:
 
 
 def _recover_sql() -> str:
-    parts = [f"cloud AS MATERIALIZED (SELECT * FROM {EVENTS_SQL})", "r0 AS (SELECT segment_id, x, y, z FROM cloud WHERE point_id % 40 = 0 AND segment_id < 2)"]
+    parts = [f"cloud AS MATERIALIZED (SELECT * FROM {EVENTS_SQL})", "ends AS (SELECT arg_max(point_id, row(z, -point_id)) AS high, arg_min(point_id, row(z, point_id)) AS low FROM cloud GROUP BY floor(x / 2), floor(y / 2))", "r0 AS (SELECT segment_id, x, y, z FROM cloud WHERE point_id IN (SELECT high FROM ends UNION SELECT low FROM ends))"]
     for k, v in enumerate(SIZES):
         cell = lambda a, t: f"floor(({t}.{a} - o.o{a}) / {v}::DOUBLE)"
         parts += [
@@ -100,7 +102,7 @@ SQL = {
     "not_all_black": f"SELECT point_id FROM {EVENTS_SQL} WHERE NOT {_GRAY} * 255 < 100.5",
     "scale_cloud": f"SELECT point_id, {', '.join(f'round({a} * (1.0::DOUBLE / 600), 9) AS {a}' for a in 'xyz')} FROM {EVENTS_SQL}",
     "affine_transform": _embeddings(f"point_id, {_MOVED}"),
-    "axis_permutation": f"SELECT point_id, round(y, 9) AS x, round(z, 9) AS y, round(x, 9) AS z FROM {EVENTS_SQL}",
+    "axis_permutation": f"SELECT point_id, round(z, 9) AS x, round(x, 9) AS y, round(y, 9) AS z FROM {EVENTS_SQL}",
     "invert_normals": _embeddings("point_id, " + ", ".join(f"round(CASE WHEN label < 3 THEN -{c} ELSE {c} END, 9) AS {c}" for c in ("nx", "ny", "nz"))),
     "column_extrema": f"""SELECT CAST(floor(x / 0.5::DOUBLE) AS BIGINT) AS i, CAST(floor(y / 0.5::DOUBLE) AS BIGINT) AS j, arg_max(point_id, row(z, -point_id)) AS max_id, arg_min(point_id, row(z, point_id)) AS min_id
  FROM {EVENTS_SQL} GROUP BY 1, 2""",

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from cloudloom.functions.geometry import cell, cylinders
 from cloudloom.jobs.cloud_queries import rounded
-from cloudloom.operators import clusters, curves, raster
+from cloudloom.operators import clusters, curves, raster, workflows
 from cloudloom.sources.clouds import EMBEDDINGS_SQL, EVENTS_SQL, PARTS_SQL, embeddings_cloud, events_cloud, part_curves
+from cloudloom.sources.shared import saved
 
 CENTERS = [(0.2, 0.3, 0.4), (0.7, 0.6, 0.5)]
 COV = [("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z")]
@@ -35,7 +36,25 @@ def _aligned(s, d):
     return out.select("segment_id", "n", *[F.round(c, 6).alias(c) for c in ("cxx", "cyy", "czz")], *[(F.abs(F.col(c)) < 1e-6).alias(c) for c in ("cxy", "cxz", "cyz")])
 
 
+def _inconsistent(s, d):
+    """Every point of the cloud is asked for: which lie in large, not too thin clusters."""
+    cloud = embeddings_cloud(s, d)
+    return workflows.inconsistent_clusters(cloud, cloud, start=30, least=5)
+
+
+def _lines(s, d):
+    return workflows.line_points(embeddings_cloud(s, d), "white", size=6.0)
+
+
 QUERIES = {
+    "cluster_aspects": lambda s, d: clusters.aspects(embeddings_cloud(s, d)).select("label", F.round("aspect", 6).alias("aspect")),
+    "cluster_similarity_aspects": lambda s, d: clusters.similarity(embeddings_cloud(s, d), "label", clusters.aspects(embeddings_cloud(s, d))).select("a", "b", F.round("similarity", 6).alias("similarity")),
+    "cluster_groups": lambda s, d: clusters.grouped(embeddings_cloud(s, d)).select("point_id", "label", "group_label"),
+    "inconsistent_clusters": _inconsistent,
+    "cloud_paint": lambda s, d: s.createDataFrame([(workflows.paint(events_cloud(s, d)),)], "paint string"),
+    "split_by_color": lambda s, d: workflows.split_by_color(events_cloud(s, d)).select("point_id", "label"),
+    "line_points": lambda s, d: _lines(s, d).select("point_id"),
+    "line_clusters": lambda s, d: workflows.line_clusters(saved(_lines(s, d)), 30, 0.01).select("point_id", "label"),
     "k_distance_curve": lambda s, d: rounded(clusters.k_distance(embeddings_cloud(s, d)), "d"),
     "k_distance_gradient": lambda s, d: rounded(clusters.gradient(clusters.k_distance(embeddings_cloud(s, d))), "d", "slope"),
     "k_distance_smoothed": lambda s, d: rounded(clusters.smoothed(clusters.gradient(clusters.k_distance(embeddings_cloud(s, d)))).where("smooth IS NOT NULL").select("rank", "smooth"), "smooth"),
@@ -49,7 +68,7 @@ QUERIES = {
     "kmeans_assign": lambda s, d: clusters.assign(events_cloud(s, d), CENTERS, ("r", "g", "b")).select("point_id", "label"),
     "kmeans_update": lambda s, d: rounded(clusters.update(clusters.assign(events_cloud(s, d), CENTERS, ("r", "g", "b")), ("r", "g", "b")), *"rgb"),
     "kmeans_full": lambda s, d: clusters.kmeans(embeddings_cloud(s, d), 4, ("nx", "ny", "nz")).select("point_id", "label"),
-    "segment_cloud": lambda s, d: clusters.segment(embeddings_cloud(s, d).drop("segment_id", "label"), 3, 5.0, 4).select("point_id", "part", "segment_id"),
+    "segment_cloud": lambda s, d: clusters.segment(embeddings_cloud(s, d).drop("segment_id", "label"), 3, least=4, start=30, threshold=0.01).select("point_id", "part", "segment_id"),
     "cluster_max_z": lambda s, d: clusters.extreme_clusters(embeddings_cloud(s, d)),
     "brightest_cluster": lambda s, d: clusters.brightest(embeddings_cloud(s, d)),
     "adaptive_threshold_voxel": lambda s, d: clusters.adaptive(events_cloud(s, d), [cell(F.col(a), 2.0) for a in "xyz"], -7).select("point_id"),

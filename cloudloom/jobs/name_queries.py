@@ -44,7 +44,7 @@ QUERIES = {
     "valid_names": lambda s, d: sessions(s, d).select("c_custkey", naming.valid_name(F.concat(F.col("model"), F.when(F.col("c_custkey") % 4 == 0, "'").otherwise(""))).alias("valid")),
     "car_labels": lambda s, d: sessions(s, d).select("c_custkey", naming.car_name(F.col("model")).alias("car"), naming.part_label(F.col("part")).alias("label"), naming.with_extension(F.concat(F.col("model"), F.lit(".ply")), ".ply", "_registered.ply").alias("path")),
     "name_checksums": lambda s, d: sessions(s, d).select("c_custkey", F.sha1(F.col("map").cast("binary")).alias("sha1"), F.format_string("<file>%s</file>", F.col("map")).alias("xml")),
-    "numeric_file_order": lambda s, d: sessions(s, d).select(F.regexp_extract("map", "C(\\d+)$", 1).cast("int").alias("number"), "map").where("number % 3 = 0").orderBy("number"),
+    "numeric_file_order": lambda s, d: sessions(s, d).select(F.regexp_extract("map", "C(\\d+)$", 1).cast("int").alias("number"), "map").orderBy("number"),
 }
 
 _LIST = lambda v: "[" + ", ".join(f"'{x}'" for x in v) + "]"
@@ -62,5 +62,5 @@ SQL = {
     "valid_names": "SELECT c_custkey, c_custkey % 4 <> 0 AS valid FROM customer",
     "car_labels": f"SELECT c_custkey, 'C' || substr(model, 2) AS car, list_aggregate(list_transform(string_split(part, ' '), lambda w: upper(w[1]) || w[2:]), 'string_agg', ' ') || ' flowviz test' AS label, model || '_registered.ply' AS path FROM {_T}",
     "name_checksums": f"SELECT c_custkey, sha1(map) AS sha1, '<file>' || map || '</file>' AS xml FROM {_T}",
-    "numeric_file_order": f"SELECT c_custkey::INT AS number, map FROM {_T} WHERE c_custkey % 3 = 0",
+    "numeric_file_order": f"SELECT c_custkey::INT AS number, map FROM {_T}",
 }

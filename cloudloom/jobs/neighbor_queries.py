@@ -36,15 +36,23 @@ def _pairs(df):
 
 
 def _correct(s, d, k: int = 2):
-    """Normals turned round once: those of label 9, and those of which any of k nearest others of label 9 disagrees in a sign."""
+    """Normals of label 9 turned round, with those near them that disagree."""
     cloud = embeddings_cloud(s, d)
-    marked = cloud.where("label = 9")
-    near = neighbors.nearest(marked, cloud, k + 1).where("qid <> pid")
-    names = ("nx", "ny", "nz")
-    left, right = marked.select(F.col("point_id").alias("qid"), *[(-F.col(c)).alias(f"q{c}") for c in names]), cloud.where("label <> 9").select(F.col("point_id").alias("pid"), *names)
-    differs = near.join(left, "qid").join(right, "pid").where(" OR ".join(f"signum({c}) <> signum(q{c})" for c in names)).select(F.col("pid").alias("point_id")).distinct().withColumn("turned", F.lit(True))
-    flip = F.coalesce("turned", F.lit(False)) | (F.col("label") == 9)
-    return cloud.join(differs, "point_id", "left").select("point_id", flip.alias("flipped"), *[F.round(F.when(flip, -F.col(c)).otherwise(F.col(c)), 9).alias(c) for c in names])
+    out = neighbors.corrected_normals(cloud, cloud.where("label = 9"), k)
+    return out.select("point_id", "flipped", *[F.round(c, 9).alias(c) for c in ("nx", "ny", "nz")])
+
+
+def _fpfh(s, d):
+    return register.fpfh(embeddings_cloud(s, d), 8.0, 100).select("point_id", *[F.round(f"f{i}", 6).alias(f"f{i}") for i in range(33)])
+
+
+def _registered(s, d):
+    """The cloud turned and moved far, and brought back over several scales: what was reached."""
+    target = embeddings_cloud(s, d).select("point_id", "x", "y", "z")
+    turn = [[0.0, -1.0, 0.0, 30.0], [1.0, 0.0, 0.0, -12.0], [0.0, 0.0, 1.0, 7.0], [0.0, 0.0, 0.0, 1.0]]
+    matrix, log = register.register(affine(target, turn), target, (4.0, 5.0), icp_fitness=(0.65, 0.70), most_tries=3)
+    error = float(np.abs(matrix @ np.array(turn) - np.eye(4)).max())
+    return s.createDataFrame([(log["tries"], float(log["ransac"]), float(log["icp"]), round(error, 6))], "tries int, ransac_fitness double, icp_fitness double, error double")
 
 
 def _equations(s, d):
@@ -68,11 +76,13 @@ def _ransac(s, d):
     moved = affine(cloud, [[0.0, -1.0, 0.0, 5.0], [1.0, 0.0, 0.0, -2.0], [0.0, 0.0, 1.0, 0.5], [0.0, 0.0, 0.0, 1.0]])
     wrong = F.when(F.col("point_id") % 10 == 0, 40.0).otherwise(0.0)
     pairs = cloud.select(F.col("point_id").alias("pair_id"), *[F.col(a).alias(f"s{a}") for a in AXES]).join(moved.select(F.col("point_id").alias("pair_id"), *[(F.col(a) + wrong).alias(f"t{a}") for a in AXES]), "pair_id")
-    return register.ransac(pairs, 0.5, tries=50).limit(3).select("attempt", "inliers", F.transform(F.flatten("transform"), lambda v: F.round(v, 6)).alias("transform"))
+    return register.ransac(pairs, 0.5).select("attempt", "inliers", F.transform(F.flatten("transform"), lambda v: F.round(v, 6)).alias("transform"))
 
 
 QUERIES = {
     "icp_register": _icp,
+    "fpfh": _fpfh,
+    "register_scales": _registered,
     "ransac_register": _ransac,
     "knn_self": lambda s, d: _pairs(neighbors.nearest(embeddings_cloud(s, d), embeddings_cloud(s, d), 8)),
     "knn_two_sides": lambda s, d: _pairs(neighbors.nearest(embeddings_cloud(s, d).where("label = 0"), embeddings_cloud(s, d).where("label <> 0"), 12)),
@@ -84,7 +94,7 @@ QUERIES = {
     "inconsistency_flags_intersect": _by_sets,
     "normal_correction": _correct,
     "icp_normal_equations": _equations,
-    "height_masks_full": lambda s, d: neighbors.height_masks(embeddings_cloud(s, d), 4.0, 16, 6),
+    "height_masks_full": lambda s, d: neighbors.height_masks(embeddings_cloud(s, d), 4.0),
     "normals": lambda s, d: register.normals(embeddings_cloud(s, d), 8.0, 30).select("point_id", *[F.round(c, 6).alias(c) for c in ("nx", "ny", "nz")]),
 }
 
@@ -112,13 +122,31 @@ def _masks_sql() -> str:
     return f"""{_CLOUD}, cells AS (SELECT arg_max(point_id, row(z, -point_id)) AS top, arg_min(point_id, row(z, point_id)) AS bottom FROM e GROUP BY floor(x / 4), floor(y / 4)),
  c0 AS MATERIALIZED (SELECT point_id, x, y, z, CASE WHEN point_id IN (SELECT top FROM cells) AND point_id IN (SELECT bottom FROM cells) THEN 'black' WHEN point_id IN (SELECT top FROM cells) THEN 'red'
   WHEN point_id IN (SELECT bottom FROM cells) THEN 'green' ELSE 'white' END AS color FROM e),
- v1 AS (SELECT point_id, {_VOTES} FROM {_nearest('c0', 'c0', 16, columns=', p.color')} GROUP BY point_id),
+ v1 AS (SELECT point_id, {_VOTES} FROM {_nearest('c0', 'c0', 128, columns=', p.color')} GROUP BY point_id),
  c1 AS MATERIALIZED (SELECT point_id, x, y, z, {_MAJORITY} AS color FROM v1 JOIN (SELECT point_id, x, y, z FROM c0) USING (point_id)),
- v2 AS (SELECT point_id, {_VOTES} FROM {_nearest("(SELECT * FROM c1 WHERE color = 'black')", "(SELECT * FROM c1 WHERE color <> 'black')", 6, columns=', p.color')} GROUP BY point_id)
+ v2 AS (SELECT point_id, {_VOTES} FROM {_nearest("(SELECT * FROM c1 WHERE color = 'black')", "(SELECT * FROM c1 WHERE color <> 'black')", 12, columns=', p.color')} GROUP BY point_id)
  SELECT point_id, CASE WHEN red IS NULL THEN color ELSE {_MAJORITY} END AS color FROM c1 LEFT JOIN v2 USING (point_id)"""
 
 
+def _fpfh_sql() -> str:
+    dot = lambda a, b: f"({a}x * {b}x + {a}y * {b}y + {a}z * {b}z)"
+    cross = lambda t, a, b: ", ".join(f"{a}{y} * {b}{z} - {a}{z} * {b}{y} AS {t}{x}" for x, y, z in ("xyz", "yzx", "zxy"))
+    bin_ = lambda x, n: f"CAST(least(greatest(floor(11 * CASE WHEN vn = 0 OR d = 0 THEN 0.5::DOUBLE ELSE {x} END), 0), 10) AS INT) AS b{n}"
+    own = ", ".join(f"count(*) FILTER (b{i // 11} = {i % 11}) * 100.0::DOUBLE / count(*) AS f{i}" for i in range(33))
+    sums = ", ".join(f"sum(h.f{i} / (p.d * p.d)) AS s{i}" for i in range(33))
+    thirds = ["(" + " + ".join(f"s{j}" for j in range(11 * t, 11 * t + 11)) + ")" for t in range(3)]
+    return f"""{_CLOUD}, pairs AS (SELECT k.point_id, k.neighbor_id, k.d, q.nx AS mx, q.ny AS my, q.nz AS mz, p.nx AS ox, p.ny AS oy, p.nz AS oz, p.x - q.x AS ex, p.y - q.y AS ey, p.z - q.z AS ez
+  FROM {_nearest('e', 'e', 100, f'{_D} <= 8')} k JOIN e q ON q.point_id = k.point_id JOIN e p ON p.point_id = k.neighbor_id WHERE k.point_id <> k.neighbor_id),
+ c AS (SELECT *, {dot('m', 'e')} / d AS c1, {dot('o', 'e')} / d AS c2 FROM pairs),
+ t AS (SELECT point_id, neighbor_id, d, CASE WHEN abs(c1) < abs(c2) THEN -c2 ELSE c1 END AS a, {', '.join(f'CASE WHEN abs(c1) < abs(c2) THEN o{x} ELSE m{x} END AS n{x}, CASE WHEN abs(c1) < abs(c2) THEN m{x} ELSE o{x} END AS l{x}, CASE WHEN abs(c1) < abs(c2) THEN -e{x} ELSE e{x} END AS g{x}' for x in 'xyz')} FROM c),
+ u AS (SELECT *, {cross('u', 'g', 'n')} FROM t), v0 AS (SELECT *, sqrt({dot('u', 'u')}) AS vn FROM u), v AS (SELECT *, ux / vn AS vx, uy / vn AS vy, uz / vn AS vz FROM v0), w AS (SELECT *, {cross('w', 'n', 'v')} FROM v),
+ b AS MATERIALIZED (SELECT point_id, neighbor_id, d, {bin_(f"(atan2({dot('w', 'l')}, {dot('n', 'l')}) + pi()) / (2 * pi())", 0)}, {bin_(f"({dot('v', 'l')} + 1) / 2", 1)}, {bin_('(a + 1) / 2', 2)} FROM w),
+ h AS MATERIALIZED (SELECT point_id, {own} FROM b GROUP BY point_id), s AS (SELECT p.point_id, {sums} FROM b p JOIN h ON h.point_id = p.neighbor_id WHERE p.d > 0 GROUP BY p.point_id)
+ SELECT e.point_id, {', '.join(f'round(coalesce(h.f{i} + coalesce(CASE WHEN {thirds[i // 11]} <> 0 THEN s.s{i} * 100 / {thirds[i // 11]} END, 0), 0), 6) AS f{i}' for i in range(33))} FROM e LEFT JOIN h USING (point_id) LEFT JOIN s USING (point_id)"""
+
+
 SQL = {
+    "fpfh": _fpfh_sql(),
     "knn_self": f"{_CLOUD} SELECT {_SHOWN} FROM {_nearest('e', 'e', 8)}",
     "knn_two_sides": f"{_CLOUD} SELECT {_SHOWN} FROM {_nearest('(SELECT * FROM e WHERE label = 0)', '(SELECT * FROM e WHERE label <> 0)', 12)}",
     "radius_neighbors": f"{_CLOUD} SELECT {_SHOWN} FROM {_nearest('e', 'e', 10, f'{_D} <= 5')}",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,12 +85,46 @@ def covariance(cloud: DataFrame, by: str = "segment_id") -> DataFrame:
     return cloud.groupBy(by).agg(F.count(F.lit(1)).alias("n"), *[F.avg(a).alias(f"m{a}") for a in AXES], *cov)
 
 
-def similarity(cloud: DataFrame, by: str = "label") -> DataFrame:
-    """(a, b, similarity) of all pairs of different clusters, by the Frobenius distance of their covariances; clusters are few."""
-    cov = covariance(cloud, by).select(F.col(by).alias("a"), *[f"c{x}{y}" for i, x in enumerate(AXES) for y in AXES[i:]])
+def aspects(cloud: DataFrame, by: str = "label") -> DataFrame:
+    """(by, aspect): the largest over the second extent of each group's box along its principal axes; infinite where the second is 0."""
+    from cloudloom.operators.raster import principal_axes, to_axes
+
+    own = cloud.select(F.col(by).cast("int").alias("segment_id"), *AXES)
+    turned = to_axes(own, principal_axes(own))
+    extents = turned.groupBy("segment_id").agg(F.sort_array(F.array(*[F.max(a) - F.min(a) for a in AXES]), asc=False).alias("e"))
+    return extents.select(F.col("segment_id").cast(cloud.schema[by].dataType).alias(by), F.when(F.get("e", F.lit(1)) > 0, F.get("e", F.lit(0)) / F.get("e", F.lit(1))).otherwise(float("inf")).alias("aspect"))
+
+
+def filter_by_aspect(cloud: DataFrame, least: float = 0.0, most: float = float("inf"), by: str = "label") -> DataFrame:
+    """Points of groups whose aspect lies between least and most, both included."""
+    return cloud.join(aspects(cloud, by).where(F.col("aspect").between(least, most)).select(by), by, "left_semi")
+
+
+def similarity(cloud: DataFrame, by: str = "label", aspect: DataFrame | None = None) -> DataFrame:
+    """(a, b, similarity) of all pairs of different clusters, by the Frobenius distance of their covariances and, if aspects (by, aspect) are given, the difference of these.
+
+    A row for each pair is the result itself; clusters are what is left of a cloud after clustering, and few."""
+    own = covariance(cloud, by)
+    own = own.withColumn("aspect", F.lit(0.0)) if aspect is None else own.join(aspect, by)
+    cov = own.select(F.col(by).alias("a"), "aspect", *[f"c{x}{y}" for i, x in enumerate(AXES) for y in AXES[i:]])
     other = cov.select(*[F.col(c).alias("b" if c == "a" else f"o{c}") for c in cov.columns])
     square = sum((F.lit(1.0 if x == y else 2.0) * (F.col(f"c{x}{y}") - F.col(f"oc{x}{y}")) * (F.col(f"c{x}{y}") - F.col(f"oc{x}{y}")) for i, x in enumerate(AXES) for y in AXES[i:]), F.lit(0.0))
-    return cov.join(F.broadcast(other), F.col("a") != F.col("b")).select("a", "b", (1 / (F.sqrt(square) + 1e-5)).alias("similarity"))
+    apart = F.when(F.col("aspect") == F.col("oaspect"), 0.0).otherwise(F.abs(F.col("aspect") - F.col("oaspect")))
+    return cov.join(other, F.col("a") != F.col("b")).select("a", "b", (1 / (F.sqrt(square) + apart + 1e-5)).alias("similarity"))
+
+
+def grouped(cloud: DataFrame, k: int = 4, by: str = "label") -> DataFrame:
+    """cloud with group_label: its clusters in k groups by power iteration on their similarity, numbered by their smallest cluster; -1 for noise."""
+    from pyspark.ml.clustering import PowerIterationClustering
+
+    found = cloud.where(F.col(by) >= 0)
+    links = saved(similarity(found, by, aspects(found, by)).where("a < b").select(F.col("a").cast("long").alias("src"), F.col("b").cast("long").alias("dst"), F.col("similarity").alias("weight")))
+    if links.isEmpty():
+        return cloud.withColumn("group_label", F.when(F.col(by) >= 0, 0).otherwise(-1))
+    named = PowerIterationClustering(k=k, maxIter=20, initMode="degree", weightCol="weight").assignClusters(links)
+    firsts = named.groupBy("cluster").agg(F.min("id").alias("first"))
+    numbers = named.join(ranked(firsts, ["first"]), "cluster").select(F.col("id").cast(cloud.schema[by].dataType).alias(by), F.col("rank").cast("int").alias("group_label"))
+    return cloud.join(numbers, by, "left").withColumn("group_label", F.coalesce("group_label", F.lit(-1)))
 
 
 def k_distance(cloud: DataFrame) -> DataFrame:
@@ -164,10 +200,29 @@ def kmeans(cloud: DataFrame, k: int, columns: tuple[str, ...], most_rounds: int
     return assign(rows, centers, columns)
 
 
-def segment(cloud: DataFrame, k: int = 4, eps: float = 3.0, least: int = 2000) -> DataFrame:
-    """cloud with segment_id: k-means on normals, density clusters inside each of its parts, and of these the ones of least points or more."""
+def segment(cloud: DataFrame, k: int = 4, eps: float | None = None, least: int = 2000, more: float = 0.25, start: int = 5000, threshold: float = 5e-5) -> DataFrame:
+    """cloud with part and segment_id: k-means on normals, density clusters inside each of its k parts, and of these the ones of least points or more.
+
+    Without an eps each part has its own, its knee and more; a part without a knee has no clusters. Segments are numbered by their smallest point."""
     parts = saved(kmeans(cloud, k, ("nx", "ny", "nz")).withColumnRenamed("label", "part"))
-    return filter_by_size(dbscan(parts, eps, by=["part"]), least).withColumnRenamed("label", "segment_id")
+    if eps is not None:
+        return filter_by_size(dbscan(parts, eps, by=["part"]), least).withColumnRenamed("label", "segment_id")
+    return filter_by_size(knee_clusters(parts, "part", more, start, threshold), least).withColumnRenamed("label", "segment_id")
+
+
+def knee_clusters(cloud: DataFrame, by: str, more: float, start: int, threshold: float) -> DataFrame:
+    """cloud with label: density clusters inside each group of by (few), each with its knee and more as eps; -1 for noise and for groups without a knee. Numbered through all groups by their smallest point."""
+    found = []
+    for (name,) in cloud.select(by).distinct().orderBy(by).collect():  # a row for each group
+        own = cloud.where(F.col(by) == name)
+        eps = epsilon(own, start, threshold).first()["eps"]
+        found.append(own.drop("label").withColumn("label", F.lit(-1)) if eps is None else dbscan(own, eps + more))
+    if not found:
+        return cloud.withColumn("label", F.lit(-1))
+    rows = saved(reduce(DataFrame.unionByName, found))
+    firsts = rows.where("label >= 0").groupBy(by, "label").agg(F.min("point_id").alias("first"))
+    numbers = ranked(firsts, ["first"]).select(by, "label", F.col("rank").cast("int").alias("number"))
+    return rows.join(numbers, [by, "label"], "left").withColumn("label", F.coalesce("number", F.lit(-1))).drop("number")
 
 
 def extreme_clusters(cloud: DataFrame) -> DataFrame:

@@ -15,17 +15,22 @@ def edges(points: DataFrame) -> DataFrame:
 
 
 def polynomials(cloud: DataFrame, by: str, x: str, y: str, degree: int) -> DataFrame:
-    """(by, n, coefficients from the constant up): least squares, with the sums made by Spark and a small system solved for each group."""
-    u = F.col(x)
-    power = lambda c, k: F.pow(c, F.lit(k))
-    sums = cloud.groupBy(by).agg(F.count(F.lit(1)).alias("n"), *[F.sum(power(u, k)).alias(f"s{k}") for k in range(2 * degree + 1)], *[F.sum(power(u, k) * F.col(y)).alias(f"t{k}") for k in range(degree + 1)])
+    """(by, n, coefficients from the constant up): least squares, with the sums made by Spark and a small system solved for each group.
+
+    Sums are of powers of x less its group's mean over its deviation, so they stay small; where x has too few different values, the smallest coefficients of these count."""
+    scales = cloud.groupBy(by).agg(F.avg(x).alias("_mean"), F.when(F.stddev_pop(x) > 0, F.stddev_pop(x)).otherwise(1.0).alias("_scale"))
+    u = (F.col(x) - F.col("_mean")) / F.col("_scale")
+    power = lambda k: F.pow(u, F.lit(k)) if k else F.lit(1.0)
+    sums = cloud.join(scales, by).groupBy(by, "_mean", "_scale").agg(F.count(F.lit(1)).alias("n"), *[F.sum(power(k)).alias(f"s{k}") for k in range(2 * degree + 1)], *[F.sum(power(k) * F.col(y)).alias(f"t{k}") for k in range(degree + 1)])
 
     def solve(batches):
         for pdf in batches:
             out = []
             for r in pdf.to_dict("records"):
                 a = np.array([[r[f"s{i + j}"] for j in range(degree + 1)] for i in range(degree + 1)])
-                out.append((r[by], r["n"], np.linalg.lstsq(a, np.array([r[f"t{i}"] for i in range(degree + 1)]), rcond=None)[0].tolist()))
+                scaled = np.linalg.lstsq(a, np.array([r[f"t{i}"] for i in range(degree + 1)]), rcond=1e-10)[0]
+                plain = np.polynomial.Polynomial(scaled)(np.polynomial.Polynomial([-r["_mean"] / r["_scale"], 1 / r["_scale"]]))
+                out.append((r[by], r["n"], np.pad(plain.coef, (0, degree + 1 - len(plain.coef))).tolist()))
             yield pd.DataFrame(out, columns=[by, "n", "coefficients"])
 
     kind = cloud.schema[by].dataType.simpleString()

@@ -2,20 +2,28 @@
 
 The range join is exact with cells as wide as the radius. The nearest-neighbour join starts with cells that hold about k points each and doubles
 the width for the queries that aren't settled: one is when it has k candidates no farther than a cell's width, as no nearer point can lie
-outside the block. Ties go to the smaller id.
+outside the block. Once FEW queries or less are left, far-off ones mostly, these are sent to all points, which are then read once: each task
+keeps the k nearest of what it has read. Ties go to the smaller id.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cloudloom.functions.geometry import AXES, cell
+from cloudloom.functions.geometry import AXES, cell, inverted
 from cloudloom.sources.shared import saved
 
 
+#: Queries that may be sent to all points: a bounded number, whatever the clouds' sizes.
+FEW = 4096
+
+
 def distance(axes: tuple[str, ...], left: str = "q", right: str = "p") -> Column:
     return F.sqrt(reduce(Column.__add__, [(F.col(f"{left}{a}") - F.col(f"{right}{a}")) * (F.col(f"{left}{a}") - F.col(f"{right}{a}")) for a in axes]))
 
@@ -48,6 +56,12 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, axes: tuple[str, ...]
     asked = queries.agg(*[f(a) for a in axes for f in (F.min, F.max)]).first()
     if not n or asked[0] is None:
         return _sides(queries, points, axes, by, 1.0).withColumn("place", F.lit(1)).limit(0)
+    asking = queries.count() if len(axes) > 4 else queries.limit(FEW + 1).count()
+    if asking <= FEW:
+        return _sent(queries, points, k, axes, by)
+    if len(axes) > 4:  # cells around a point are too many; the queries are a stated set against all points, in blocks
+        blocks = -(-asking // FEW)
+        return reduce(DataFrame.unionByName, [_sent(queries.where(F.pmod(F.xxhash64("point_id"), F.lit(blocks)) == b), points, k, axes, by) for b in range(blocks)])
     spans = [max(bounds[2 + 2 * i], asked[1 + 2 * i]) - min(bounds[1 + 2 * i], asked[2 * i]) for i in range(len(axes))]
     extents = [max(bounds[2 + 2 * i] - bounds[1 + 2 * i], 1e-9) for i in range(len(axes))]
     width = max((reduce(float.__mul__, map(float, extents), 1.0) * k / n) ** (1 / len(axes)), max(spans) / 2**20, 1e-9)
@@ -63,12 +77,54 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, axes: tuple[str, ...]
         parts.append(good)
         ids = good.select(*by, F.col("qid").alias("point_id")).distinct()
         left = saved(left.join(ids, [*by, "point_id"], "left_anti"))
-        if left.isEmpty():
+        many = left.limit(FEW + 1).count()
+        if many <= FEW:
+            parts += [_sent(left, points, k, axes, by)] * bool(many)
             break
         width *= 2
     return reduce(DataFrame.unionByName, parts)
 
 
+def _sent(queries: DataFrame, points: DataFrame, k: int, axes: tuple[str, ...], by: list[str]) -> DataFrame:
+    """The nearest points of up to FEW queries, which are sent to all points."""
+    asked = queries.select(*by, F.col("point_id").alias("qid"), *axes).toPandas()
+    groups = [(name if isinstance(name, tuple) else (name,), own["qid"].to_numpy(), own[list(axes)].to_numpy(float)) for name, own in (asked.groupby(by, dropna=True) if by else [((), asked)])]
+    shared = queries.sparkSession.sparkContext.broadcast(groups)
+    kept = points.select(*by, F.col("point_id").alias("pid"), *axes)
+    schema = T.StructType([*[kept.schema[c] for c in by], T.StructField("qid", queries.schema["point_id"].dataType), T.StructField("pid", kept.schema["pid"].dataType), T.StructField("d", T.DoubleType())])
+
+    def run(batches):
+        best: dict[tuple, tuple] = {}
+        for pdf in batches:
+            for name, ids, at in shared.value:
+                mine = np.ones(len(pdf), bool)
+                for c, v in zip(by, name, strict=True):
+                    mine &= (pdf[c] == v).to_numpy()
+                own = pdf[mine]
+                for start in range(0, len(own), 1024):
+                    pids, where = own["pid"].to_numpy()[start : start + 1024], own[list(axes)].to_numpy(float)[start : start + 1024]
+                    square = sum((at[:, None, i] - where[None, :, i]) * (at[:, None, i] - where[None, :, i]) for i in range(len(axes)))
+                    d = np.sqrt(square)
+                    q = np.repeat(np.arange(len(ids)), len(pids))
+                    if len(pids) > k:
+                        near = (d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k]).ravel()
+                    else:
+                        near = np.ones(d.size, bool)
+                    new = (q[near], np.tile(pids, len(ids))[near], d.ravel()[near])
+                    old = best.get(name)
+                    q, p, d = (np.concatenate(x) for x in zip(old, new, strict=True)) if old else new
+                    order = np.lexsort((p, d, q))
+                    q, p, d = q[order], p[order], d[order]
+                    first = np.arange(len(q)) - np.searchsorted(q, q) < k
+                    best[name] = (q[first], p[first], d[first])
+        for name, ids, _ in shared.value:
+            if name in best:
+                q, p, d = best[name]
+                yield pd.DataFrame({**dict(zip(by, name, strict=True)), "qid": ids[q], "pid": p, "d": d})
+
+    return capped(kept.mapInPandas(run, schema), k, by)
+
+
 def exact_matches(cloud: DataFrame, other: DataFrame) -> DataFrame:
     """(point_id, match_id): for each point of other at exactly equal coordinates the smallest id of cloud."""
     first = cloud.groupBy(*AXES).agg(F.min("point_id").alias("match_id"))
@@ -109,3 +165,15 @@ def height_masks(cloud: DataFrame, size: float = 0.5, k: int = 128, k_black: int
 def inconsistent(masks: DataFrame) -> DataFrame:
     """Points of the top that face down, or of the bottom that face up: red without blue and black without green, or the reverse."""
     return masks.where("(red AND NOT blue AND black AND NOT green) OR (blue AND NOT red AND green AND NOT black)")
+
+
+def corrected_normals(cloud: DataFrame, marked: DataFrame, k: int = 10) -> DataFrame:
+    """cloud with flipped, and its normals turned round once where that holds: for the marked points, and for those of their k nearest others that disagree with a turned one in a sign."""
+    names = ("nx", "ny", "nz")
+    own = cloud.join(marked.select("point_id").distinct(), "point_id", "left_semi")
+    near = nearest(own, cloud, k + 1).where("qid <> pid")
+    left = own.select(F.col("point_id").alias("qid"), *[(-F.col(c)).alias(f"q{c}") for c in names])
+    right = cloud.join(own.select("point_id"), "point_id", "left_anti").select(F.col("point_id").alias("pid"), *names)
+    differs = near.join(left, "qid").join(right, "pid").where(" OR ".join(f"signum({c}) <> signum(q{c})" for c in names)).select(F.col("pid").alias("point_id"))
+    turned = differs.union(own.select("point_id")).distinct().withColumn("flipped", F.lit(True))
+    return inverted(cloud.join(turned, "point_id", "left").withColumn("flipped", F.coalesce("flipped", F.lit(False))), F.col("flipped"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cloudloom.functions.color import gray
 from cloudloom.functions.geometry import AXES, cell
-from cloudloom.sources.shared import saved
+from cloudloom.sources.shared import Workspace, saved
 
 
 def metrics(cloud: DataFrame) -> DataFrame:
@@ -18,20 +18,30 @@ def metrics(cloud: DataFrame) -> DataFrame:
 
 
 def voxel_size(target: float) -> Column:
-    """Over metrics: the edge at which about target points a cubic unit stay; null for clouds under 0.01."""
+    """Over metrics: the edge at which about target points a cubic unit stay; null, to leave the cloud as it is, for those under 0.01, flat ones and ones too small for a point."""
     volume = F.col("dx") * F.col("dy") * F.col("dz")
-    return F.when(F.col("density") >= 1e-2, F.round(F.pow(volume / F.floor(volume * target), F.lit(1 / 3)), 9))
+    return F.when(F.col("density") >= 1e-2, F.round(F.pow(F.try_divide(volume, F.floor(volume * target)), F.lit(1 / 3)), 9))
 
 
 def downsample(cloud: DataFrame, target: float = 2.0) -> DataFrame:
-    """A mean point for each voxel: i, j, k, n, x, y, z, gray. One aggregation for the bounds, one for the voxels."""
+    """A mean point for each voxel: i, j, k, n, x, y, z, gray. One aggregation for the bounds, one for the voxels.
+
+    A cloud without a voxel size stays as it is: each point by itself, with null i, j and k."""
     m = metrics(cloud).withColumn("v", voxel_size(target)).select("v", *[f"min_{a}" for a in AXES])
     keys = [cell(F.col(a), F.col("v"), F.col(f"min_{a}") - F.col("v") / 2).alias(k) for a, k in zip(AXES, "ijk", strict=True)]
-    placed = cloud.join(F.broadcast(m)).select(*keys, *AXES, "r", "g", "b")  # m is one row
-    out = placed.groupBy("i", "j", "k").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in (*AXES, *"rgb")])
+    placed = cloud.join(F.broadcast(m)).select(*keys, F.when(F.col("v").isNull(), F.col("point_id")).alias("alone"), *AXES, "r", "g", "b")  # m is one row
+    out = placed.groupBy("i", "j", "k", "alone").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in (*AXES, *"rgb")])
     return out.select("i", "j", "k", "n", *[F.round(a, 9).alias(a) for a in AXES], F.round(gray(), 9).alias("gray"))
 
 
+def reduced(cloud: DataFrame, size: float | None, target: float = 2.0) -> DataFrame:
+    """(point_id, x, y, z): the mean of each voxel's points, with their smallest id; without a size that for about target points a cubic unit. Voxels start half a voxel before the smallest corner."""
+    m = metrics(cloud).select((voxel_size(target) if size is None else F.lit(float(size))).alias("v"), *[f"min_{a}" for a in AXES])
+    keys = [cell(F.col(a), F.col("v"), F.col(f"min_{a}") - F.col("v") / 2).alias(k) for a, k in zip(AXES, "ijk", strict=True)]
+    placed = cloud.join(F.broadcast(m)).select("point_id", *AXES, *keys, F.when(F.col("v").isNull(), F.col("point_id")).alias("alone"))  # m is one row
+    return placed.groupBy("i", "j", "k", "alone").agg(F.min("point_id").alias("point_id"), *[F.avg(a).alias(a) for a in AXES]).select("point_id", *AXES)
+
+
 def column_extrema(cloud: DataFrame, size: float = 0.5) -> DataFrame:
     """i, j, max_id, min_id: of each XY cell the points of largest and smallest z, of equal ones the smallest id."""
     return cloud.groupBy(cell(F.col("x"), size).alias("i"), cell(F.col("y"), size).alias("j")).agg(
@@ -43,14 +53,23 @@ def recover(region: DataFrame, full: DataFrame, sizes: tuple[float, ...] = (1.0,
     """The points of full in the occupied cells of each segment's region, round after round, each result being the next region; for all segments at once.
 
     Cells start half a cell before the region's smallest corner. Points of full may belong to several segments."""
-    current = region.select("segment_id", *AXES)
+    with Workspace(full.sparkSession) as work:
+        return saved(_recovered(region.select("segment_id", *AXES), full, sizes, work))
+
+
+def _recovered(current: DataFrame, full: DataFrame, sizes: tuple[float, ...], work: Workspace) -> DataFrame:
     for size in sizes:
         corner = current.groupBy("segment_id").agg(*[(F.min(a) - size / 2).alias(f"o{a}") for a in AXES])
         keys = [cell(F.col(a), size, F.col(f"o{a}")).alias(f"c{a}") for a in AXES]
-        cells = current.join(corner, "segment_id").select("segment_id", *keys).distinct()
-        # Every point is looked at once for each segment: corners are as many rows as segments.
-        probe = full.join(F.broadcast(corner)).select("segment_id", "point_id", *AXES, *keys)
-        current = saved(probe.join(cells, ["segment_id", "cx", "cy", "cz"], "left_semi").select("segment_id", "point_id", *AXES))
+        cells = current.join(corner, "segment_id").select("segment_id", *[f"o{a}" for a in AXES], *keys).distinct()
+        # A segment's cells don't start where those of others do. Each overlaps up to eight cells of one grid for all, in which a point lies once.
+        shared = [F.explode(F.sequence(F.floor(F.col(f"o{a}") / size + F.col(f"c{a}") - 1e-6), F.floor(F.col(f"o{a}") / size + F.col(f"c{a}") + 1 + 1e-6))).alias(f"g{a}") for a in AXES]
+        spread = cells
+        for a, column in zip(AXES, shared, strict=True):
+            spread = spread.select("*", column)
+        points = full.select("point_id", *AXES, *[F.floor(F.col(a) / size).alias(f"g{a}") for a in AXES])
+        same = " AND ".join(f"floor(({a} - o{a}) / {size!r}D) = c{a}" for a in AXES)
+        current = work.keep(points.join(spread, [f"g{a}" for a in AXES]).where(same).select("segment_id", "point_id", *AXES))
     return current
 
 
