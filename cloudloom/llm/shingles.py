@@ -11,7 +11,7 @@ import numpy as np
 
 SIZE = 5
 #: Texts are hashed in pieces of about this many bytes.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 _KEYS = np.random.default_rng(20240601).integers(1, 2**63, SIZE + 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACES, _LETTER, _PLACE = _KEYS[:SIZE], _KEYS[SIZE], _KEYS[SIZE + 1]
