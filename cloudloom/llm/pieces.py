@@ -506,7 +506,7 @@ def token_counts(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") ->
                 known.long.clear()
                 of = np.repeat(np.arange(part.num_rows), each)
                 sums = [np.bincount(of, x, part.num_rows) for x in (counts, scores)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sums[0].astype(np.int64)), pa.array(sums[1])], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(float))], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 

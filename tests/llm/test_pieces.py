@@ -89,3 +89,24 @@ def test_round_trip(spark, vocabulary):
     assert twice.where("n > 1").count() == 0
     counts = {r.text: r.n_tokens for r in pieces.token_counts(docs.withColumn("n_tokens", F.lit("x")), vocabulary).collect()}
     assert counts[None] == 0 and counts[""] == 0 and counts["\n"] == 2 and counts["the the the"] == 6
+
+
+def test_draws_hang_on_key_and_text_alone(spark, vocabulary):
+    """The same pieces whatever rows share the task, and keys of any type."""
+    lattice, rng = pieces.Lattice(vocabulary), random.Random(7)
+    texts = [" ".join("".join(rng.choice("etaoinshr") for _ in range(rng.randrange(1, 12))) for _ in range(30)) for _ in range(40)]
+    together = pieces.Sampler(lattice, 3)
+    together.encode_all([" ".join(texts[::-1])] * 3, [9, 8, 7])
+    flat, sizes = together.encode_all(texts, list(range(40)))
+    ends = [0, *itertools.accumulate(sizes.tolist())]
+    for k, text in enumerate(texts):
+        assert pieces.Sampler(lattice, 3).encode(text, k).tolist() == flat[ends[k] : ends[k + 1]].tolist()
+    named = spark.createDataFrame([("a", texts[0]), ("b", texts[0]), ("a", texts[0]), (None, texts[0])], "doc_id string, text string")
+    rows = pieces.encode(named, vocabulary, verify=True).collect()
+    assert rows[0].pieces == rows[2].pieces != rows[1].pieces and all(r.lossless for r in rows)
+
+
+def test_empty_and_repeated_rows_are_counted(spark, vocabulary):
+    docs = spark.createDataFrame([(1, "the the"), (1, "the the"), (None, None)], "doc_id long, text string")
+    assert pieces.token_counts(docs.limit(0), vocabulary).count() == 0
+    assert sorted(r.n_tokens for r in pieces.token_counts(docs, vocabulary).collect())[0] == 0 and pieces.token_counts(docs, vocabulary).select("n_tokens").distinct().count() == 2

@@ -29,3 +29,16 @@ def test_links_of_odd_rows(spark):
     assert one.json == '{"calls":[{"arguments":{"query":"é\\n","turn":1},"id":"a","name":"lookup","result":"first","valid":true},{"arguments":"not json","id":"b","name":"none","result":null,"valid":false}],"orphans":["lost"]}'
     assert json.loads(got[4].json)["orphans"] == ["o1", "o2"] and got[2].n_invalid == 1 and got[3].n_invalid == 0
     assert toolcalls.link(c.limit(0), r.limit(0), toolcalls.SCHEMAS).count() == 0
+
+
+def test_arguments_that_json_cannot_hold(spark):
+    deep, half = "[" * 100_000 + "]" * 100_000, '{"query":"\\ud800","turn":1}'
+    calls = [("c", "deep", 1, "search", deep, None), ("c", "half", 2, "search", half, None), ("c", "nan", 3, "search", '{"query":"q","turn":NaN}', None), ("c", "inf", 4, "search", '{"query":"q","turn":1e999}', None), ("c", "pair", 5, "search", '{"query":"\\ud83d\\ude00","turn":1}', ["nan", "later"]), ("c", "later", 6, "search", '{"turn":1,"query":"q"}', ["pair", "deep"])]
+    c = spark.createDataFrame(calls, "conversation string, id string, turn int, name string, arguments string, uses array<string>")
+    r = spark.createDataFrame([("c", "deep", 9, "x")], "conversation string, id string, turn int, content string")
+    row = toolcalls.link(c, r, toolcalls.SCHEMAS).first()
+    assert (row.n_calls, row.n_linked, row.n_invalid) == (6, 1, 3)
+    listed = {x["id"]: x for x in json.loads(row.json, parse_constant=lambda name: 1 / 0)["calls"]}
+    assert listed["deep"]["arguments"] == deep and listed["nan"]["arguments"] == calls[2][4] and listed["half"]["arguments"]["query"] == "\ud800"
+    assert listed["pair"]["arguments"]["query"] == "😀" and "\\ud800" in row.json
+    assert row.call_order == ["deep", "half", "nan", "inf", "pair", "later"] and listed["pair"]["cyclic"] and listed["later"]["cyclic"]
