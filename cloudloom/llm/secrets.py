@@ -1,36 +1,71 @@
 """Secret scan: pattern candidates, and a random forest that removes the false positives among them.
 
-A candidate is a run of 12 or more key characters; '=' belongs to it only as padding at its end, so in NAME=value the name stays outside, as
-what is beside the value. Its features are its length, its character classes and
-transitions between them, the share of it that dictionary words cover, whether it looks like a path, and the words beside
-it. The forest is fitted by Spark's own classifier on labelled findings, a bounded sample of ``most_findings`` (where there are more, half of them secrets, or all secrets there
-are), and then compiled into one SQL expression, so scanning is a projection of built-in functions.
-
-Defined results: null and empty texts give no row. A null secret label isn't learned from. If the labelled findings are all of one kind, or none,
-the score is the share of secrets among them (0 without any). Each place of a candidate is a finding of its own, so repeated rows give
-repeated findings. Whole texts are scanned. Extra columns of the documents are ignored.
+A candidate is a run of 12 or more key characters ('=' belongs to it only as padding at its end, so in NAME=value the name stays outside, as
+what is beside the value), or what is quoted or assigned and has 8 or more printable characters of any kind. Its features are its length, its
+character classes, how likely its character transitions are in the corpus's words, the share of it that dictionary words cover, whether it
+looks like a path, and the words beside it. Dictionary and transitions are counted over all words of the corpus.
+
+The forest is fitted by Spark's own classifier on labelled findings, a bounded sample of ``most_findings`` (where there are more, half of them secrets,
+or all secrets there are), and then compiled into one SQL expression, so scanning is a projection of built-in functions. Where nobody has
+labelled findings, ``planted`` makes them: keys, tokens, passwords, and harmless strings that look like them (numbers, addresses, paths, identifiers,
+digests, placeholders), each of known kind, set between the words of ``most_planted`` documents of the corpus.
+
+Defined results: null and empty texts, and empty tables, give no row. A null secret label isn't learned from. If the labelled findings are all of one kind, or none,
+the score is the share of secrets among them (0 without any); a score of 0.5, a tie of the trees, counts as a secret. Each place of a candidate is a finding of its own,
+so repeated rows give repeated findings. Whole texts are scanned. Ids are passed through, null ones too. Extra columns of the documents are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass, field
+from math import log2
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloudloom.llm.common import saved, shared_folder
+from cloudloom.llm.common import Workspace
 
 KEY = "[A-Za-z0-9+/_.\\-]"
 _PADDING = "={1,6}+(?![A-Za-z0-9+/_=.\"'\\-])"
-#: 12 characters or more, its padding among them.
-CANDIDATE = f"(?<!{KEY})(?:{KEY}{{12,}}+(?:{_PADDING})?|(?=[A-Za-z0-9+/_=.\\-]{{12}}){KEY}{{6,11}}+{_PADDING})"
-#: Words that file names, addresses and identifiers are made of.
-DICTIONARY = "the and for with http https www com org net example test sample user name file data main index page image version release default config local host server admin login license token secret key password mail".split()
-#: Words that stand beside secrets.
+#: What stands in quotes, or after = or :, less the punctuation that ends a sentence.
+_QUOTED = "(?<=[\"'`])[!-~&&[^\"'`]]{8,}+(?=[\"'`])"
+_ASSIGNED = "(?<=[=:])(?!//)[!-~&&[^\"'`=:,;&<>]]{8,}(?<![.!?)\\]}#$%])(?:={1,2}(?![!-~]))?"
+#: Else 12 characters or more, its padding among them.
+CANDIDATE = f"{_QUOTED}|{_ASSIGNED}|(?<!{KEY})(?:{KEY}{{12,}}+(?:{_PADDING})?|(?=[A-Za-z0-9+/_=.\\-]{{12}}){KEY}{{6,11}}+{_PADDING})"
+#: What a line must hold to have a candidate.
+_LIKELY = f"{KEY}{{12}}|[=:\"'`][ ]?[\"'`]?[!-~]{{8}}|{KEY}{{6,11}}="
+#: Words that stand beside secrets, and words that file names, addresses and identifiers are made of beside those of the corpus.
 KEYWORDS = "token secret password passwd pwd api_key apikey access_key auth bearer credential private".split()
-FEATURES = ["length", "digits", "uppers", "lowers", "marks", "transitions", "distinct_share", "covered", "slashes", "dots", "hex", "keyword_before", "assigned", "quoted", "words_after"]
+NAMES = "http https www com org net example test sample user name file data main index page image version release default config local host server admin html mail".split()
+FEATURES = [
+    "length", "digits", "uppers", "lowers", "marks", "transitions", "surprise", "distinct_share", "covered", "slashes", "dots", "hex", "dashes_apart",
+    "keyword_before", "name_before", "assigned", "quoted", "words_after", "words_before",
+]
+
+
+@dataclass
+class Statistics:
+    """Of the corpus's words: the commonest ones, and the mean of -log2 of the probability of each letter after each other."""
+
+    dictionary: list[str] = field(default_factory=list)
+    surprise: dict[str, float] = field(default_factory=dict)
+
+
+def statistics(docs: DataFrame, text: str = "text", most_words: int = 600) -> Statistics:
+    """Counted over all words (runs of a-z, of 2 letters or more) of all texts; what comes to the driver is most_words words and 26 x 26 counts."""
+    with Workspace(docs.sparkSession) as work:
+        words = work.keep(docs.select(F.explode(F.split(F.lower(text), "[^a-z]+")).alias("word")).where(F.length("word") > 1).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+        common = words.where(F.length("word") > 3).orderBy(F.desc("n"), "word").limit(most_words).collect()
+        letters = F.split("word", "")
+        pairs = words.select("n", F.explode(F.zip_with(F.slice(letters, 1, F.length("word") - 1), F.slice(letters, 2, F.length("word") - 1), lambda a, b: F.concat(a, b))).alias("pair"))
+        counts = {r["pair"]: r["n"] for r in pairs.groupBy("pair").agg(F.sum("n").alias("n")).collect()}
+    firsts: dict[str, int] = {}
+    for pair, n in counts.items():
+        firsts[pair[0]] = firsts.get(pair[0], 0) + n
+    return Statistics([r["word"] for r in common], {pair: -log2((n + 1) / (firsts[pair[0]] + 28)) for pair, n in counts.items()})
 
 
 def candidates(docs: DataFrame, id_: str = "doc_id", text: str = "text", with_digit: bool = True) -> DataFrame:
@@ -38,15 +73,17 @@ def candidates(docs: DataFrame, id_: str = "doc_id", text: str = "text", with_di
 
     with_digit: only those that hold a digit; else all that hold a letter or digit.
     """
-    lines = docs.where(F.col(text).rlike(CANDIDATE)).select(F.col(id_).alias("id"), F.posexplode(F.split(text, "\n")).alias("line", "content"))
-    words = lines.where(F.col("content").rlike(CANDIDATE)).select("id", "line", F.split("content", "[\\x20\\x09-\\x0D]+").alias("words"))
-    near = words.select("id", "line", "words", F.posexplode("words").alias("word", "own")).where(F.length("own") >= 12)
+    lines = docs.where(F.col(text).rlike(_LIKELY)).select(F.col(id_).alias("id"), F.posexplode(F.split(text, "\n")).alias("line", "content"))
+    words = lines.where(F.col("content").rlike(_LIKELY)).select("id", "line", F.split("content", "[\\x20\\x09-\\x0D]+").alias("words"))
+    near = words.select("id", "line", "words", F.posexplode("words").alias("word", "own")).where(F.length("own") >= 8)
     word = lambda k: F.coalesce(F.get("words", F.col("word") + k), F.lit(""))
-    kept = near.select("id", "line", "word", "own", word(-2).alias("before2"), word(-1).alias("before"), word(1).alias("after"), F.posexplode(F.regexp_extract_all("own", F.lit(CANDIDATE), F.lit(0))).alias("place", "candidate"))
+    # A word after one that ends in = or : is assigned by it.
+    shown = F.concat(F.when(word(-1).rlike("[=:]$"), F.lit("=")).otherwise(""), F.col("own"))
+    kept = near.select("id", "line", "word", "own", word(-2).alias("before2"), word(-1).alias("before"), word(1).alias("after"), F.posexplode(F.regexp_extract_all(shown, F.lit(CANDIDATE), F.lit(0))).alias("place", "candidate"))
     return kept.where(F.col("candidate").rlike("[0-9]" if with_digit else "[A-Za-z0-9]"))
 
 
-def features(found: DataFrame) -> DataFrame:
+def features(found: DataFrame, known: Statistics) -> DataFrame:
     """found with the columns of FEATURES (double)."""
     c = F.col("candidate")
     count = lambda kind: F.length(c) - F.length(F.regexp_replace(c, kind, ""))
@@ -54,22 +91,30 @@ def features(found: DataFrame) -> DataFrame:
     classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[a-z]", "a"), "[A-Z]", "A"), "[0-9]", "0"), "[^aA0]", "-")
     runs = F.regexp_replace(classes, "(.)\\1+", "$1")
     beside = F.lower(F.concat_ws(" ", "before2", "before", F.split_part("own", F.col("candidate"), F.lit(1))))
+    # a to z, { for digits and | for the rest have codes from 97 on; a transition that no word has costs as much as one of 28 equal ones.
+    plain = F.regexp_replace(F.regexp_replace(F.lower(c), "[0-9]", "{"), "[^a-z{]", "|")
+    table = F.array(*[F.lit(known.surprise.get(chr(97 + i) + chr(97 + j), log2(28))) for i in range(28) for j in range(28)])
+    coded = found.withColumn("_codes", F.transform(F.split(plain, ""), lambda x: F.ascii(x) - 97))
+    n = F.size("_codes") - 1
+    steps = F.zip_with(F.slice("_codes", 1, n), F.slice("_codes", 2, n), lambda a, b: F.get(table, a * 28 + b))
+    words = "|".join(sorted({*known.dictionary, *NAMES, *KEYWORDS}, key=lambda w: (-len(w), w)))
     values = {
         "length": F.length(c), "digits": count("[0-9]") / F.length(c), "uppers": count("[A-Z]") / F.length(c), "lowers": count("[a-z]") / F.length(c), "marks": count("[^A-Za-z0-9]") / F.length(c),
-        "transitions": (F.length(runs) - 1) / F.length(c), "distinct_share": F.size(F.array_distinct(F.split(c, ""))) / F.length(c),
-        "covered": 1 - F.length(F.regexp_replace(F.lower(c), "|".join(DICTIONARY), "")) / F.length(c), "slashes": count("/"), "dots": count("\\."), "hex": c.rlike("^[0-9a-fA-F]+$"),
-        "keyword_before": beside.rlike("|".join(KEYWORDS)), "assigned": beside.rlike("[=:]\\s*[\"']?$") | F.col("before").isin("=", ":", ":="), "quoted": F.col("own").rlike("^[\"'].*[\"']"), "words_after": F.length("after") > 0,
+        "transitions": (F.length(runs) - 1) / F.length(c), "surprise": F.aggregate(steps, F.lit(0.0), lambda a, x: a + x) / n, "distinct_share": F.size(F.array_distinct("_codes")) / F.least(F.length(c), F.lit(28)),
+        "covered": 1 - F.length(F.regexp_replace(F.lower(c), words, "")) / F.length(c), "slashes": count("/"), "dots": count("\\."), "hex": c.rlike("^[0-9a-fA-F]+$"), "dashes_apart": c.rlike("^[A-Za-z]+([_-][A-Za-z]+)+$"),
+        "keyword_before": beside.rlike("|".join(KEYWORDS)), "name_before": beside.rlike("[a-z_]+[\"']?\\s*[=:]\\s*[\"']?$"), "assigned": beside.rlike("[=:]\\s*[\"']?$") | F.col("before").isin("=", ":", ":="),
+        "quoted": F.col("own").rlike("^[\"'].*[\"']"), "words_after": F.length("after") > 0, "words_before": F.length("before2") > 0,
     }
-    return found.withColumns({k: v.cast("double") for k, v in values.items()})
+    return coded.withColumns({k: v.cast("double") for k, v in values.items()}).drop("_codes")
 
 
-def fit(labelled: DataFrame, label: str = "secret", most_findings: int = 20_000, trees: int = 15, depth: int = 5, seed: int = 11) -> Column:
+def fit(labelled: DataFrame, label: str = "secret", most_findings: int = 20_000, trees: int = 15, depth: int = 6, seed: int = 11) -> Column:
     """The score (0 to 1: the share of the trees that vote for a secret) as an expression over FEATURES."""
     known = labelled.where(F.col(label).isNotNull())
     n, good = known.agg(F.count(F.lit(1)), F.sum(F.col(label).cast("int"))).first()
     if not n or good in (0, n):
         return F.lit(float(good or 0) / max(n, 1))
-    # Chosen by a hash of the finding, so the sample is bounded and the same in each run. Long words of prose are far more than secrets, so each kind has its half.
+    # Chosen by a hash of the finding, so the sample is bounded and the same in each run. Harmless strings are far more than secrets, so each kind has its half.
     part = 1.0 if n <= most_findings else F.when(F.col(label), most_findings / 2 / good).otherwise(most_findings / 2 / (n - good))
     sampled = known.where(F.pmod(F.xxhash64("id", "line", "word", "place"), F.lit(1_000_003)) / 1_000_003 < part).limit(2 * most_findings)
     rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(sampled.withColumn("label", F.col(label).cast("double"))).select("features", "label")
@@ -94,16 +139,66 @@ def compiled(model: RandomForestClassificationModel) -> Column:
     return sum(votes[1:], votes[0]) / len(votes)
 
 
-def weak_label() -> Column:
-    """Labels of findings where nobody has given any: what is assigned beside a key word and long is a secret; what is digits only, or
-    stands alone in prose, isn't; the rest stays unlabelled."""
-    strong = (F.col("keyword_before") == 1) & (F.col("assigned") == 1) & (F.col("length") >= 16)
-    return F.when(strong, True).when((F.col("digits") == 1) | ((F.col("keyword_before") == 0) & (F.col("assigned") == 0)), False)
+def _drawn(seed: int) -> dict[str, Column]:
+    """Strings that a row's hash draws: digests in several alphabets, numbers, and words of the row's own text."""
+    sha = lambda what: F.sha2(F.concat_ws("/", F.lit(f"{seed}/{what}"), F.col("_at").cast("string")), 256)
+    pick = lambda what, n: F.pmod(F.xxhash64(F.lit(f"{seed}/{what}"), "_at"), F.lit(n)).cast("int")
+    word = lambda k: F.coalesce(F.nullif(F.regexp_replace(F.lower(F.get("_words", pick(f"word{k}", 1 << 30) % F.greatest(F.size("_words"), F.lit(1)))), "[^a-z]", ""), F.lit("")), F.lit(f"item{k}"))
+    number = lambda what, n: pick(what, n).cast("string")
+    return {
+        "hex": F.substring(sha("hex"), 1, 32 + 8 * 1), "hex32": F.substring(sha("hex32"), 1, 32), "hex64": sha("hex64"),
+        "b64": F.base64(F.unhex(F.substring(sha("b64"), 1, 48))), "b64pad": F.base64(F.unhex(F.substring(sha("b64pad"), 1, 44))),
+        "alnum": F.regexp_replace(F.base64(F.unhex(sha("alnum"))), "[+/=]", "x"), "digits": F.substring(F.translate(sha("digits"), "abcdef", "123456"), 1, 16),
+        "one": word(1), "two": word(2), "three": word(3), "number": number("number", 100_000), "year": F.concat(F.lit("20"), F.lpad(number("year", 30), 2, "0")), "byte": number("byte", 256), "other": number("other", 256),
+        "mark": F.element_at(F.array(*map(F.lit, "!@#$%^*-_+")), pick("mark", 10) + 1), "key": F.element_at(F.array(*map(F.lit, ["token", "secret", "password", "api_key", "API_KEY", "auth_token", "DB_PASSWORD", "aws_secret_access_key", "private_key", "pwd"])), pick("key", 10) + 1),
+        "name": F.element_at(F.array(*map(F.lit, ["version", "path", "url", "title", "commit", "checksum", "id", "image", "label", "ref"])), pick("name", 10) + 1), "kind": pick("kind", 1 << 20),
+    }
 
 
-def scan(docs: DataFrame, id_: str = "doc_id", text: str = "text", labelled: DataFrame | None = None, **options) -> DataFrame:
-    """Findings (id_, line, word, place, candidate, score, secret); labelled: findings with FEATURES and the column secret, else weak labels of docs' own."""
-    found = saved(features(candidates(docs, id_, text, with_digit=False)).select("id", "line", "word", "place", "candidate", *FEATURES), shared_folder(docs.sparkSession))  # read twice: to fit and to rate
-    score = fit(found.withColumn("secret", weak_label()) if labelled is None else labelled, **options)
-    rated = found.withColumn("score", score)
+def planted(docs: DataFrame, text: str = "text", most_planted: int = 8_000, seed: int = 5) -> DataFrame:
+    """(id, text, secret, value): lines of the corpus's own words with one planted string each, of known kind; about most_planted of them, drawn from all documents by a hash."""
+    total = max(1, docs.where(F.col(text).isNotNull()).count())
+    here = docs.where(F.col(text).isNotNull()).select(F.xxhash64(F.lit(seed), text).alias("_hash"), F.split(F.translate(text, "\n\t", "  "), " +").alias("_all"))
+    share = min(1.0, most_planted / 24 / total)
+    some = here.where(F.pmod("_hash", F.lit(1_000_003)) / 1_000_003 < share)
+    # A text gives as many lines as there are kinds; its words from a drawn place on stand around the string.
+    some = some.select(F.explode(F.sequence(F.lit(0), F.lit(23))).alias("_line"), "_hash", F.slice("_all", F.pmod("_hash", F.size("_all")).cast("int") + 1, 12).alias("_words"))
+    rows = some.withColumn("_at", F.xxhash64("_hash", "_line"))
+    v = _drawn(seed)
+    upper = lambda x: F.initcap(x)
+    join = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])
+    # (secret, what stands before the string, the string, what stands behind it)
+    kinds = [
+        (True, join(v["key"], ' = "'), v["hex"], '"'), (True, join(upper(v["key"]), "="), v["b64"], ""), (True, join(v["key"], ": "), F.substring(v["alnum"], 1, 24), ""), (True, join('{"', v["key"], '": "'), F.substring(v["alnum"], 3, 32), '"}'),
+        (True, join("Authorization: Bearer "), join("eyJ", F.substring(v["alnum"], 1, 20), ".", F.substring(v["alnum"], 9, 30), ".", F.substring(v["b64"], 1, 24)), ""), (True, join("password: "), join(upper(v["one"]), v["mark"], v["year"], v["two"]), ""),
+        (True, join('password = "'), join(v["one"], "-", v["two"], "-", v["three"]), '"'), (True, join("?access_token="), F.substring(v["alnum"], 2, 28), "&x=1"), (True, join("export ", F.upper(v["key"]), "="), v["hex32"], ""), (True, join(v["key"], "='"), join(v["b64pad"]), "'"),
+        (True, join("secret: "), join(upper(v["one"]), upper(v["two"]), v["number"], v["mark"], "x"), ""), (True, join("--", v["key"], " "), F.substring(v["alnum"], 5, 22), ""),
+        (False, "", v["digits"], ""), (False, "", join(v["byte"], ".", v["other"], ".", v["byte"], ".", v["other"], ".", v["number"]), ""), (False, "", join("/", v["one"], "/", v["two"], "/", v["three"], "/index.html"), ""), (False, "see https:", join("//www.", v["one"], ".example.com/", v["two"], "-", v["three"]), ""),
+        (False, "", join(v["one"], "-", v["two"], "-", v["three"]), ""), (False, join(v["name"], ' = "'), join(v["one"], "_", v["two"], "_", v["three"]), '"'), (False, join(v["name"], ": "), join(v["one"], ".", v["two"], "-", v["number"]), ""), (False, join("commit "), v["hex"], ""),
+        (False, join("sha256:"), v["hex64"], ""), (False, join(v["key"], ' = "'), join("your_", v["one"], "_", v["key"], "_here"), '"'), (False, join(v["key"], "="), F.element_at(F.array(F.lit("xxxxxxxxxxxxxxxx"), F.lit("********"), F.lit("changeme-changeme"), join("${", F.upper(v["key"]), "}")), F.pmod(v["kind"], F.lit(4)) + 1), ""),
+        (False, "", join(v["one"], v["two"], v["three"], "ation"), ""),
+    ]
+    before, after = F.array_join(F.slice("_words", 1, 4), " "), F.array_join(F.slice("_words", 5, F.pmod(v["kind"], F.lit(5))), " ")
+    choose = lambda k: F.element_at(F.array(*[x[k] if isinstance(x[k], Column) else F.lit(x[k]) for x in kinds]), F.col("_line") + 1)
+    made = rows.select(F.col("_at").alias("id"), choose(0).alias("secret"), choose(1).alias("lead"), choose(2).alias("value"), choose(3).alias("tail"), before.alias("before"), after.alias("after"))
+    return made.select("id", F.concat("before", F.lit(" "), "lead", "value", "tail", F.lit(" "), "after").alias("text"), "secret", "value")
+
+
+def labelled_findings(docs: DataFrame, known: Statistics, work: Workspace, text: str = "text", **options) -> DataFrame:
+    """Findings with FEATURES and secret in planted lines, which work keeps: what holds or lies in the planted string has its label, the words around it none."""
+    lines = work.keep(planted(docs, text, **options)).withColumn("id", F.struct("id", "secret", "value"))
+    found = features(candidates(lines, "id", "text", with_digit=False), known)
+    about = F.col("id.value").contains(F.col("candidate")) | F.col("candidate").contains(F.col("id.value"))
+    return found.where(about).withColumn("secret", F.col("id.secret")).withColumn("id", F.col("id.id"))
+
+
+def scan(docs: DataFrame, id_: str = "doc_id", text: str = "text", labelled: DataFrame | None = None, known: Statistics | None = None, **options) -> DataFrame:
+    """Findings (id_, line, word, place, candidate, score, secret); labelled: findings with FEATURES and the column secret, else those in planted lines."""
+    known = known or statistics(docs, text)
+    if labelled is None:
+        with Workspace(docs.sparkSession) as work:
+            score = fit(work.keep(labelled_findings(docs, known, work, text).select("id", "line", "word", "place", *FEATURES, "secret")), **options)
+    else:
+        score = fit(labelled, **options)
+    rated = features(candidates(docs, id_, text, with_digit=False), known).withColumn("score", score)
     return rated.select(F.col("id").alias(id_), "line", "word", "place", "candidate", "score", (F.col("score") >= 0.5).alias("secret"))

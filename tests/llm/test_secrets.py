@@ -1,9 +1,11 @@
+import math
 import re
 from itertools import groupby
 
 from pyspark.sql import functions as F
 
 from cloudloom.llm import secrets
+from cloudloom.llm.common import Workspace
 
 TEXTS = [
     (1, 'x token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" and more'), (2, "call 4785380592391139 now\nsecond password: Abcdef123456789ghi end"), (3, None), (4, ""), (5, "no candidates here at all, really"),
@@ -21,25 +23,61 @@ def brute(text):
 
 def test_candidates_and_features(spark):
     docs = spark.createDataFrame([(*t, 1) for t in TEXTS], "doc_id long, text string, score int")
-    rows = secrets.features(secrets.candidates(docs)).collect()
+    known = secrets.Statistics(["candidate", "file"], {"ab": 2.0, "bc": 3.0})
+    rows = secrets.features(secrets.candidates(docs), known).collect()
     assert sorted((r.id, r.line, r.word, r.candidate) for r in rows) == sorted((d, *x) for d, t in TEXTS for x in brute(t))
     for r in rows:
         kinds = ["a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "-" for c in r.candidate]
-        assert r.transitions == (len(list(groupby(kinds))) - 1) / len(kinds) and r.length == len(kinds) and abs(r.distinct_share - len(set(r.candidate)) / len(kinds)) < 1e-12
+        assert r.transitions == (len(list(groupby(kinds))) - 1) / len(kinds) and r.length == len(kinds)
+        pairs = [known.surprise.get(r.candidate[i : i + 2].lower(), math.log2(28)) for i in range(len(kinds) - 1)]
+        assert abs(r.surprise - sum(pairs) / len(pairs)) < 1e-9
     assert {r.id for r in rows if r.keyword_before and r.assigned} == {1, 2, 7}
+    assert [round(r.covered, 6) for r in rows if r.id == 6] == [round(22 / 38, 6)]  # www, example, com, file, index
     assert secrets.scan(docs.limit(0)).count() == 0
-    assert secrets.scan(docs.where("doc_id = 2")).count() == 2
+    found = secrets.scan(docs.where("doc_id = 2").unionAll(docs.where("doc_id = 2")).withColumn("doc_id", F.lit(None).cast("long")))
+    assert found.count() == 4 and found.where("doc_id IS NULL").count() == 4
+
+
+def test_counts_of_words_and_letters(spark):
+    docs = spark.createDataFrame([(1, "This this, THAT\nthing's x"), (2, None), (3, "")], "doc_id long, text string")
+    known = secrets.statistics(docs, most_words=2)
+    assert known.dictionary == ["this", "that"]  # of equal counts the first
+    firsts = {"t": 4, "h": 4, "i": 3, "a": 1, "n": 1}
+    counts = {"th": 4, "hi": 3, "is": 2, "ha": 1, "at": 1, "in": 1, "ng": 1}
+    assert known.surprise == {p: -math.log2((n + 1) / (firsts[p[0]] + 28)) for p, n in counts.items()}
+    assert secrets.statistics(docs.limit(0)) == secrets.Statistics()
+
+
+def test_passwords_of_any_characters(spark):
+    texts = ['password = "correct-horse-battery"', "password: P@ssw0rd!2024xyz.", "--secret 'x7#k9$m2&q'", "pwd=short"]
+    found = secrets.candidates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), with_digit=False).collect()
+    assert {(r.id, r.candidate) for r in found} == {(0, "correct-horse-battery"), (1, "P@ssw0rd!2024xyz"), (2, "x7#k9$m2&q")}
+
+
+def test_held_out_planted_findings(spark):
+    """Fitted on strings planted in one half of the documents, held against others planted in the other half."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    known = secrets.statistics(docs)
+    half = lambda k: docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == k)
+    with Workspace(spark) as work:
+        score = secrets.fit(work.keep(secrets.labelled_findings(half(0), known, work).select("id", "line", "word", "place", *secrets.FEATURES, "secret")))
+        rated = secrets.labelled_findings(half(1), known, work, seed=77).withColumn("found", score >= 0.5)
+        counts = {(r.secret, r.found): r["count"] for r in rated.groupBy("secret", "found").count().collect()}
+    good, missed, wrong = (counts.get(k, 0) for k in ((True, True), (True, False), (False, True)))
+    print("precision", good / (good + wrong), "recall", good / (good + missed))
+    assert good > 3000 and good / (good + wrong) > 0.97 and good / (good + missed) > 0.97
 
 
 def test_compiled_forest_votes_like_its_trees(spark):
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").limit(3000)
-    found = secrets.features(secrets.candidates(docs)).withColumn("label", F.coalesce(secrets.weak_label(), F.lit(False)).cast("double")).cache()
-    rows = VectorAssembler(inputCols=secrets.FEATURES, outputCol="features").transform(found)
-    model = RandomForestClassifier(numTrees=5, maxDepth=4, seed=3).fit(rows)
-    both = rows.withColumn("score", secrets.compiled(model)).select("features", "score").limit(200).collect()
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    with Workspace(spark) as work:
+        found = secrets.labelled_findings(docs, secrets.Statistics(), work, most_planted=2000).withColumn("label", F.col("secret").cast("double")).cache()
+        rows = VectorAssembler(inputCols=secrets.FEATURES, outputCol="features").transform(found)
+        model = RandomForestClassifier(numTrees=5, maxDepth=4, seed=3).fit(rows)
+        both = rows.withColumn("score", secrets.compiled(model)).select("features", "score").limit(200).collect()
     assert len(both) > 50
     for r in both:
         votes = sum(t.predict(r.features) for t in model.trees) / len(model.trees)
