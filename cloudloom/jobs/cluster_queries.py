@@ -39,7 +39,7 @@ def _aligned(s, d):
 def _inconsistent(s, d):
     """Every point of the cloud is asked for: which lie in large, not too thin clusters."""
     cloud = embeddings_cloud(s, d)
-    return workflows.inconsistent_clusters(cloud, cloud, start=30, least=5)
+    return workflows.inconsistent_clusters(cloud, cloud, start=300, least=5)
 
 
 def _lines(s, d):
@@ -54,7 +54,7 @@ QUERIES = {
     "cloud_paint": lambda s, d: s.createDataFrame([(workflows.paint(events_cloud(s, d)),)], "paint string"),
     "split_by_color": lambda s, d: workflows.split_by_color(events_cloud(s, d)).select("point_id", "label"),
     "line_points": lambda s, d: _lines(s, d).select("point_id"),
-    "line_clusters": lambda s, d: workflows.line_clusters(saved(_lines(s, d)), 30, 0.01).select("point_id", "label"),
+    "line_clusters": lambda s, d: workflows.line_clusters(saved(_lines(s, d)), 300, 0.01).select("point_id", "label"),
     "k_distance_curve": lambda s, d: rounded(clusters.k_distance(embeddings_cloud(s, d)), "d"),
     "k_distance_gradient": lambda s, d: rounded(clusters.gradient(clusters.k_distance(embeddings_cloud(s, d))), "d", "slope"),
     "k_distance_smoothed": lambda s, d: rounded(clusters.smoothed(clusters.gradient(clusters.k_distance(embeddings_cloud(s, d)))).where("smooth IS NOT NULL").select("rank", "smooth"), "smooth"),
