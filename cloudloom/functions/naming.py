@@ -54,8 +54,9 @@ def car_name(model: Column) -> Column:
     return F.concat(F.lit("C"), F.substring(model, 2, 1000))
 
 
-def part_label(part: Column) -> Column:
-    return F.concat(F.initcap(part), F.lit(" flowviz test"))
+def part_label(part: Column, what: str) -> Column:
+    """A part's name, each word with a capital, and what was done with it."""
+    return F.concat(F.initcap(part), F.lit(f" {what}"))
 
 
 def with_extension(path: Column, old: str, new: str) -> Column:

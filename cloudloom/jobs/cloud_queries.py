@@ -52,7 +52,7 @@ QUERIES = {
     "column_extrema": lambda s, d: voxel.column_extrema(events_cloud(s, d)),
     "region_recovery_6rounds": lambda s, d: _recovered(s, d).select("segment_id", "point_id"),
     "recovery_ratio": _ratio,
-    "adaptive_parameters": lambda s, d: voxel.metrics(events_cloud(s, d)).select(F.when(F.greatest("dx", "dy", "dz") * 200 > 2500, 12).when(F.greatest("dx", "dy", "dz") * 200 > 2000, 10).when(F.greatest("dx", "dy", "dz") * 200 > 1500, 8).otherwise(6).alias("size")),
+    "adaptive_parameters": lambda s, d: voxel.metrics(events_cloud(s, d)).select(voxel.threshold_cell(200).alias("size")),
     "select_by_index": lambda s, d: events_cloud(s, d).join(embeddings_cloud(s, d).where("label < 5").select("point_id"), "point_id", "left_semi").select("point_id", "x"),
     "antiselect_by_index": lambda s, d: events_cloud(s, d).join(embeddings_cloud(s, d).where("label < 5").select("point_id"), "point_id", "left_anti").select("point_id", "x"),
     "concatenate_clouds": lambda s, d: rounded(events_cloud(s, d).select("x", "y", "z").unionByName(embeddings_cloud(s, d).select("x", "y", "z")).agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("sx"), F.max("z").alias("mz")).withColumn("sx", F.round("sx", 6)), "mz"),

@@ -42,7 +42,7 @@ QUERIES = {
     "missing_fields": _missing,
     "parse_settings": _settings,
     "valid_names": lambda s, d: sessions(s, d).select("c_custkey", naming.valid_name(F.concat(F.col("model"), F.when(F.col("c_custkey") % 4 == 0, "'").otherwise(""))).alias("valid")),
-    "car_labels": lambda s, d: sessions(s, d).select("c_custkey", naming.car_name(F.col("model")).alias("car"), naming.part_label(F.col("part")).alias("label"), naming.with_extension(F.concat(F.col("model"), F.lit(".ply")), ".ply", "_registered.ply").alias("path")),
+    "car_labels": lambda s, d: sessions(s, d).select("c_custkey", naming.car_name(F.col("model")).alias("car"), naming.part_label(F.col("part"), "flowviz test").alias("label"), naming.with_extension(F.concat(F.col("model"), F.lit(".ply")), ".ply", "_registered.ply").alias("path")),
     "name_checksums": lambda s, d: sessions(s, d).select("c_custkey", F.sha1(F.col("map").cast("binary")).alias("sha1"), F.format_string("<file>%s</file>", F.col("map")).alias("xml")),
     "numeric_file_order": lambda s, d: sessions(s, d).select(F.regexp_extract("map", "C(\\d+)$", 1).cast("int").alias("number"), "map").orderBy("number"),
 }

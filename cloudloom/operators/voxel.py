@@ -23,6 +23,18 @@ def voxel_size(target: float) -> Column:
     return F.when(F.col("density") >= 1e-2, F.round(F.pow(F.try_divide(volume, F.floor(volume * target)), F.lit(1 / 3)), 9))
 
 
+#: The cell of the adaptive threshold for clouds with a larger extent than these, and for all others.
+CELLS, LEAST_CELL = ((2500, 12), (2000, 10), (1500, 8)), 6
+
+
+def threshold_cell(scale: float = 1) -> Column:
+    """Over metrics: the cell of the adaptive threshold; scale brings the cloud's unit to that of the table."""
+    extent, out = F.greatest("dx", "dy", "dz") * scale, F.lit(LEAST_CELL)
+    for more, size in reversed(CELLS):
+        out = F.when(extent > more, size).otherwise(out)
+    return out
+
+
 def downsample(cloud: DataFrame, target: float = 2.0) -> DataFrame:
     """A mean point for each voxel: i, j, k, n, x, y, z, gray. One aggregation for the bounds, one for the voxels.
 

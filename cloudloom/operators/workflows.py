@@ -11,9 +11,8 @@ from cloudloom.operators import clusters, neighbors, voxel
 from cloudloom.sources.shared import saved
 
 COLORS = ("r", "g", "b")
-#: The constant of the adaptive threshold for each paint, and voxel sizes by the largest extent of a cloud.
+#: The constant of the adaptive threshold for each paint.
 CUTS = {"white": -7, "green": -3}
-VOXELS = ((2500.0, 12.0), (2000.0, 10.0), (1500.0, 8.0))
 
 
 def paint(cloud: DataFrame) -> str:
@@ -65,8 +64,7 @@ def line_points(cloud: DataFrame, color: str = "white", by_voxel: bool = True, k
     """The points of painted lines: those over the adaptive threshold of their voxel (or of the whole cluster) inside each of k clusters of normals."""
     parts = saved(clusters.kmeans(cloud, k, ("nx", "ny", "nz")))
     if by_voxel and size is None:
-        m = voxel.metrics(cloud).first()
-        size = next((v for extent, v in VOXELS if max(m["dx"] or 0, m["dy"] or 0, m["dz"] or 0) > extent), 6.0)
+        size = float(voxel.metrics(cloud).select(voxel.threshold_cell()).first()[0])
     keys = [F.col("label"), *([cell(F.col(a), size) for a in AXES] if by_voxel else [])]
     return clusters.adaptive(parts, keys, CUTS[color])
 

@@ -1,6 +1,6 @@
 """PLY clouds and meshes as DataFrames, and back.
 
-A file's header is read on the driver through Spark's own binary reader, so any store that Spark reads will do; the rows are parsed by tasks, one for
+Files come whole through Spark's own binary reader, so any store that Spark reads will do, and a file must fit a row (2 GB); header and rows are parsed by tasks, one for
 each file. ASCII and both binary encodings are read. Columns: point_id (place in the file, from 0), x, y, z and, where the file has
 them, r, g, b (0 to 1) and nx, ny, nz. Faces give tri_id, v0, v1, v2.
 """
