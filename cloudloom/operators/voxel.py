@@ -46,12 +46,12 @@ def downsample(cloud: DataFrame, target: float = 2.0) -> DataFrame:
     return out.select("i", "j", "k", "n", *[F.round(a, 9).alias(a) for a in AXES], F.round(gray(), 9).alias("gray"))
 
 
-def reduced(cloud: DataFrame, size: float | None, target: float = 2.0) -> DataFrame:
-    """(point_id, x, y, z): the mean of each voxel's points, with their smallest id; without a size that for about target points a cubic unit. Voxels start half a voxel before the smallest corner."""
+def reduced(cloud: DataFrame, size: float | None, target: float = 2.0, more: tuple[str, ...] = ()) -> DataFrame:
+    """(point_id, x, y, z and more): the mean of each voxel's points, with their smallest id; without a size that for about target points a cubic unit. Voxels start half a voxel before the smallest corner."""
     m = metrics(cloud).select((voxel_size(target) if size is None else F.lit(float(size))).alias("v"), *[f"min_{a}" for a in AXES])
     keys = [cell(F.col(a), F.col("v"), F.col(f"min_{a}") - F.col("v") / 2).alias(k) for a, k in zip(AXES, "ijk", strict=True)]
-    placed = cloud.join(F.broadcast(m)).select("point_id", *AXES, *keys, F.when(F.col("v").isNull(), F.col("point_id")).alias("alone"))  # m is one row
-    return placed.groupBy("i", "j", "k", "alone").agg(F.min("point_id").alias("point_id"), *[F.avg(a).alias(a) for a in AXES]).select("point_id", *AXES)
+    placed = cloud.join(F.broadcast(m)).select("point_id", *AXES, *more, *keys, F.when(F.col("v").isNull(), F.col("point_id")).alias("alone"))  # m is one row
+    return placed.groupBy("i", "j", "k", "alone").agg(F.min("point_id").alias("point_id"), *[F.avg(a).alias(a) for a in (*AXES, *more)]).select("point_id", *AXES, *more)
 
 
 def column_extrema(cloud: DataFrame, size: float = 0.5) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cloudloom.functions.color import paint_color
 from cloudloom.functions.geometry import AXES, cell
-from cloudloom.operators import clusters, neighbors, voxel
+from cloudloom.operators import clusters, neighbors, orient, register, voxel
 from cloudloom.sources.shared import saved
 
 COLORS = ("r", "g", "b")
@@ -23,6 +23,20 @@ def paint(cloud: DataFrame) -> str:
     return mean.select(paint_color(F.col("r"), F.col("g"), F.col("b"))).first()[0]
 
 
+def prepare(cloud: DataFrame, target: float = 2.0, by_voxel: bool = True, normals: bool = True, check: bool = False, radius: float = 2.0, most: int = 10, k: int = 10, **limits) -> DataFrame:
+    """cloud (point_id, x, y, z, r, g, b) as the other steps take it: one point for each voxel, for about target points a cubic unit, with the smallest id and the mean colour; normals of up to most
+    neighbours within radius, oriented along the tree of k nearest; with check those are turned round that contradict the heights (limits: as for consistent_normals).
+
+    A cloud too thin for a voxel size keeps its points."""
+    own = saved(voxel.reduced(cloud, None, target, COLORS) if by_voxel else cloud.select("point_id", *AXES, *COLORS))
+    if not normals:
+        return own
+    found = saved(orient.oriented(saved(register.normals(own, radius, most)), k))
+    if not check:
+        return found.drop("flipped")
+    return consistent_normals(found.drop("flipped"), **limits).drop("flipped")
+
+
 def split_by_color(cloud: DataFrame, k: int = 2) -> DataFrame:
     """cloud with label: k clusters of colours, or all of the cloud in one of them where it has fewer colours."""
     return clusters.kmeans(cloud, k, COLORS)
