@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from cloudloom.jobs import cloud_queries, cluster_queries, image_queries, name_queries, neighbor_queries, normal_queries
+from cloudloom.jobs import cloud_queries, cluster_queries, image_queries, name_queries, neighbor_queries, normal_queries, shape_queries
 
-MODULES = (cloud_queries, neighbor_queries, cluster_queries, image_queries, name_queries, normal_queries)
+MODULES = (cloud_queries, neighbor_queries, cluster_queries, image_queries, name_queries, normal_queries, shape_queries)
 
 
 def queries() -> dict[str, Callable]:
