@@ -5,7 +5,7 @@ its root is where the forms of forms end.
 
 1. A word's frequency vector counts its letters group by group: a group holds one letter of the Latin alphabet and some accented ones, and the frequent
    letters come first. One edit makes one count larger by one, or one smaller, or both: a surplus and a deficit of one each.
-2. The words form a trie by their counts, one group a level. It is dealt out by nodes, a level at a time: a node's task holds the words below it and those below greater nodes
+2. The words form a trie by their counts, one group a level. It is dealt out by nodes, of a depth that follows from the number of words: a node's task holds the words below it and those below greater nodes
    within the budget; nodes whose task would hold more than MOST go down another level.
 3. A task searches its trie against itself and against its neighbours', depth first, spending the surplus and the deficit; pairs of words at the leaves are verified:
    their common beginning and end cover all but the edited letter. Each pair is met in one task, so what tasks count and find largest only has to be added up; pairs aren't rows.
@@ -19,6 +19,7 @@ An empty table gives an empty result. Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,7 +39,7 @@ LETTERS = "A-Za-zÀ-ÿ"
 #: The letters by which groups are made, the most frequent first.
 ORDER = "eniratsoduhlcgmbfwkzpvyjxq"
 #: Words of a node when the trie is dealt out, the most that one task's search may hold before its node is parted, and distinct words that a task counts at once.
-NODE, MOST, COUNTED = 1 << 11, 1 << 15, 1 << 18
+NODE, MOST, COUNTED = 1 << 13, 1 << 16, 1 << 18
 #: Letters of a word that are compared at once; longer words are compared one by one.
 WIDE = 64
 _GROUP = np.array([ORDER.index(chr(97 + (c - 97) % 26)) for c in range(256)], np.int64)
@@ -80,24 +81,48 @@ def counts(docs: DataFrame, id_: str = "doc_id", text: str = "text", least_lette
     return found.where((F.col("n") >= least) & (F.length("word") >= least_letters))
 
 
-def vector(word: Column) -> Column:
-    """The counts of a word's letters, group by group."""
-    groups = ["".join(chr(c) for c in [*range(97, 123), *range(0xC0, 0x100)] if _GROUP[c] == g) for g in range(len(ORDER))]
-    return F.array(*[(F.length(word) - F.length(F.translate(word, letters, ""))).cast("int") for letters in groups])
+def frequencies(words: list[str]) -> np.ndarray:
+    """A row for each word: how many letters of each group it has."""
+    flat = np.frombuffer("".join(words).encode("latin-1"), np.uint8)
+    row = np.repeat(np.arange(len(words)), [len(w) for w in words])
+    return np.bincount(row * len(ORDER) + _GROUP[flat], minlength=len(words) * len(ORDER)).reshape(len(words), len(ORDER))
 
 
-def _lower(rows: DataFrame, depth: int) -> DataFrame:
-    """rows (word, n, counts, node, own) at nodes of depth (the counts so far), dealt to the nodes of the next level: to their own, and to smaller ones within the budget; own says which."""
-    here = F.get("counts", F.lit(depth))
-    path = F.slice("counts", 1, depth + 1)
-    moved = rows.withColumn("move", F.explode(F.array(*[F.lit(m) for m in (0, 1, -1)])))
-    to = moved.withColumn("to", F.concat("node", F.array(here + F.col("move")))).where(here + F.col("move") >= 0)
-    apart = F.zip_with("to", path, lambda a, b: a - b)
-    within = F.aggregate(apart, F.struct(F.lit(0).alias("up"), F.lit(0).alias("down")), lambda s, x: F.struct((s["up"] + F.when(x > 0, x).otherwise(0)).alias("up"), (s["down"] + F.when(x < 0, -x).otherwise(0)).alias("down")))
-    dealt = to.withColumn("spent", within).where("spent.up <= 1 AND spent.down <= 1").where(~F.col("own") | (F.col("move") == 0) | (F.col("to") < path))
-    dealt = dealt.select("word", "n", "counts", F.col("to").alias("node"), (F.col("own") & (F.col("move") == 0)).alias("own"))
-    nodes = dealt.where("own").select("node").distinct()
-    return dealt.join(lookup(nodes), "node", "left_semi")
+def moves(levels: int) -> list[np.ndarray]:
+    """What the budget may add to the counts of so many levels: nothing, one letter more, one less, or both."""
+    one = np.eye(levels, dtype=np.int64)
+    return [np.zeros(levels, np.int64), *one, *-one, *[one[i] - one[j] for i in range(levels) for j in range(levels) if i != j]]
+
+
+def _lower(rows: DataFrame, depth: int, to: int, only_own: bool = False) -> DataFrame:
+    """rows (word, n, node, own) at nodes of depth (two bytes for each count so far), dealt to the nodes of the level to: to their own, and (unless only_own) to smaller ones within the budget; own says which."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            path = frequencies(batch.column("word").to_pylist())[:, :to]
+            node = np.frombuffer(b"".join(batch.column("node").to_pylist()), ">u2").reshape(len(path), depth).astype(np.int64)
+            own = batch.column("own").to_numpy(zero_copy_only=False)
+            apart = node - path[:, :depth]
+            up, down = (apart > 0).sum(axis=1), (apart < 0).sum(axis=1)
+            for move in moves(to - depth)[: 1 if only_own else None]:
+                target = path[:, depth:] + move
+                good = (target >= 0).all(axis=1) & (up + (move > 0).any() <= 1) & (down + (move < 0).any() <= 1)
+                if move.any() and move[move != 0][0] > 0:
+                    good &= ~own  # leads to a greater node
+                at = np.flatnonzero(good)
+                if len(at):
+                    there = np.concatenate([node[at], target[at]], axis=1).astype(">u2").tobytes()
+                    names = pa.Array.from_buffers(pa.binary(2 * to), len(at), [None, pa.py_buffer(there)]).cast(pa.binary())
+                    taken = pa.array(at)
+                    yield pa.RecordBatch.from_arrays([batch.column("word").take(taken), batch.column("n").take(taken), names, pa.array(own[at] & (not move.any()))], names=["word", "n", "node", "own"])
+
+    return rows.select("word", "n", "node", "own").mapInArrow(run, "word string, n long, node binary, own boolean")
+
+
+def _dealt(rows: DataFrame, depth: int, to: int, work: Workspace) -> DataFrame:
+    """rows at the nodes of the level to, without those sent to nodes that no word lies in. Written."""
+    nodes = work.keep(_lower(rows.where("own"), depth, to, True).select("node").distinct())
+    return work.keep(_lower(rows, depth, to).join(lookup(nodes), "node", "left_semi"))
 
 
 def fits(level: int, up: np.ndarray, down: np.ndarray) -> np.ndarray:
@@ -116,9 +141,7 @@ class Words:
         row, place = np.repeat(np.arange(n), np.minimum(self.sizes, wide)), np.concatenate([np.arange(min(s, wide)) for s in self.sizes.tolist()] or [np.zeros(0, np.int64)])
         self.left, self.right = np.zeros((2, n, wide + 1), np.uint8)
         self.left[row, place], self.right[row, place] = flat, ends
-        self.counts = np.bincount(row * len(ORDER) + _GROUP[flat], minlength=n * len(ORDER)).reshape(n, len(ORDER))
-        for i in np.flatnonzero(self.sizes > wide).tolist():
-            self.counts[i] = np.bincount(_GROUP[np.frombuffer(words[i].encode("latin-1"), np.uint8)], minlength=len(ORDER))
+        self.counts = frequencies(words)
 
     def near(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Whether exactly one edit leads from word i to word j; the words differ."""
@@ -161,14 +184,11 @@ def searched(words: list[str], n: np.ndarray, own: np.ndarray) -> pa.Table:
 
 def neighbours(words: DataFrame, work: Workspace, node: int = NODE, most: int = MOST) -> DataFrame:
     """(word, n_near, best, form) of the words (word, n; distinct, written) that have a near one; best is the largest n among the near words, form the first word with it."""
-    rows = words.select("word", "n", vector(F.col("word")).alias("counts"), F.array().cast("array<int>").alias("node"), F.lit(True).alias("own"))
-    # How many nodes each depth has, so that the first levels are gone down at once.
-    levels = range(1, len(ORDER))
-    nodes = rows.agg(F.count(F.lit(1)), *[F.approx_count_distinct(F.slice("counts", 1, d)) for d in levels]).first()
-    depth = next((d for d in levels if nodes[d] * node >= nodes[0]), len(ORDER)) if nodes[0] > node else 0
-    for d in range(depth):
-        rows = _lower(rows, d)
-    rows, parts = work.keep(rows), []
+    total = words.count()
+    # Each level parts nodes in two or three, so about this many lead to nodes of the wished size; nodes that are still crowded go on.
+    depth = min(len(ORDER), max(0, math.ceil(math.log(max(1.0, total / node / 3)) / math.log(2.3)))) if total > node else 0
+    rows = words.select("word", "n", F.lit(b"").alias("node"), F.lit(True).alias("own"))
+    rows, parts = _dealt(rows, 0, depth, work) if depth else rows, []
     while True:
         crowded = work.keep(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > most).select("node"))
         if depth >= len(ORDER) or crowded.isEmpty():
@@ -176,7 +196,7 @@ def neighbours(words: DataFrame, work: Workspace, node: int = NODE, most: int =
             break
         few = lookup(crowded)
         parts.append(rows.join(few, "node", "left_anti"))
-        rows = work.keep(_lower(rows.join(few, "node", "left_semi"), depth))
+        rows = _dealt(rows.join(few, "node", "left_semi"), depth, depth + 1, work)
         depth += 1
 
     def search(table: pa.Table) -> pa.Table:
