@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cloudloom.functions.geometry import AXES
+from cloudloom.functions.geometry import AXES, cell
 from cloudloom.operators.neighbors import nearest, within
 from cloudloom.sources.shared import Workspace, forget, saved, shared_folder
 
@@ -56,18 +56,88 @@ def ranked(df: DataFrame, order: list[str], start: int = 0) -> DataFrame:
     return parts.join(F.broadcast(before), "_part").withColumn("rank", (inside + F.col("_before") - 1 + start).cast("long")).drop("_part", "_before")
 
 
+#: Rows that two boxes of points may make when they are compared point by point, and levels that boxes are halved at most.
+FEW_PAIRS, MOST_LEVELS = 1024, 24
+
+
 def dbscan(cloud: DataFrame, eps: float, least: int = 3, by: list[str] | None = None) -> DataFrame:
-    """cloud with label: the clusters numbered by their smallest core point, -1 for noise; a border point gets its smallest cluster. Points of different groups (by) aren't neighbours."""
-    pairs = saved(within(cloud, cloud, eps, by=by).select("qid", "pid"))
-    core = saved(pairs.groupBy("qid").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("qid"))
-    reach = pairs.join(core, "qid", "left_semi")
-    inner = reach.join(core.select(F.col("qid").alias("pid")), "pid", "left_semi").where("qid <> pid").select(F.col("qid").alias("a"), F.col("pid").alias("b"))
-    roots = core.join(components(inner).withColumnRenamed("node", "qid"), "qid", "left").select("qid", F.coalesce("root", "qid").alias("root"))
-    numbers = ranked(roots.select("root").distinct(), ["root"])
-    named = saved(roots.join(numbers, "root").select("qid", F.col("rank").alias("cluster")))
-    own = named.select(F.col("qid").alias("point_id"), F.col("cluster").alias("own"))
-    border = reach.join(named, "qid").groupBy(F.col("pid").alias("point_id")).agg(F.min("cluster").alias("near"))
-    return cloud.drop("label").join(own, "point_id", "left").join(border, "point_id", "left").withColumn("label", F.coalesce("own", "near", F.lit(-1)).cast("int")).drop("own", "near")
+    """cloud with label: the clusters numbered by their smallest core point, -1 for noise; a border point gets its smallest cluster. Points of different groups (by) aren't neighbours.
+
+    Points lie in cells so small that those of one cell are neighbours. A cell of least points or more has core points only; others are counted for the rest alone, and a
+    point in a crowded cell is never paired with that cell's others. Clusters are components of cells (linked_cells). Pairs that the rest makes are counted as they come, not kept."""
+    by = by or []
+    with Workspace(cloud.sparkSession) as work:
+        width = eps / 3**0.5 * (1 - 1e-9)
+        cells = [f"_c{a}" for a in AXES]
+        points = work.keep(cloud.select(*by, "point_id", *AXES, *[cell(F.col(a), width).alias(c) for a, c in zip(AXES, cells, strict=True)]))
+        crowded = points.groupBy(*by, *cells).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).drop("n")
+        thin = work.keep(points.join(crowded, [*by, *cells], "left_anti"))
+        some = within(thin, points, eps, by=by).groupBy("qid").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select(F.col("qid").alias("point_id"))
+        core = work.keep(points.join(crowded, [*by, *cells], "left_semi").unionByName(thin.join(some, "point_id", "left_semi").select(points.columns)))
+        named = work.keep(core.groupBy(*by, *cells).agg(F.min("point_id").alias("node")))
+        core = work.keep(core.join(named, [*by, *cells]))
+        roots = named.join(components(linked_cells(core, eps, width, by, work), work), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+        numbers = ranked(roots.select("root").distinct(), ["root"])
+        clustered = work.keep(core.join(roots.join(numbers, "root").select("node", F.col("rank").alias("own")), "node").select(*by, "point_id", *AXES, "own"))
+        rest = thin.join(clustered.select("point_id"), "point_id", "left_anti")
+        border = within(rest, clustered, eps, by=by).join(clustered.select(F.col("point_id").alias("pid"), "own"), "pid").groupBy(F.col("qid").alias("point_id")).agg(F.min("own").alias("own"))
+        labels = saved(clustered.select("point_id", "own").unionByName(border))
+    return cloud.drop("label").join(labels, "point_id", "left").withColumn("label", F.coalesce("own", F.lit(-1)).cast("int")).drop("own")
+
+
+def linked_cells(core: DataFrame, eps: float, width: float, by: list[str], work: Workspace) -> DataFrame:
+    """Links (a, b) between the cells (node, _cx, _cy, _cz) of core points that hold two within eps of each other.
+
+    Boxes around the points decide for most cells: all of two boxes is near, or nothing is. Where they can't, the boxes are halved along each axis, as often as needed, until they
+    decide or hold few points, which are compared. So two crowded cells make a few boxes' pairs, whatever the number of their points."""
+    cells = [f"_c{a}" for a in AXES]
+
+    def boxes(level: int) -> DataFrame:
+        keys = [F.floor((F.col(a) - F.col(c) * width) / width * 2**level).alias(f"k{a}") for a, c in zip(AXES, cells, strict=True)]
+        return core.groupBy("node", *by, *cells, *keys).agg(F.count(F.lit(1)).alias("m"), *[f(a).alias(f"{n}{a}") for a in AXES for n, f in (("lo", F.min), ("hi", F.max))])
+
+    def sides(level: int) -> tuple[DataFrame, DataFrame]:
+        found = work.keep(boxes(level))
+        return tuple(found.withColumnsRenamed({c: f"{c}_{side}" for c in found.columns if c[0] in "klhm" and c not in by} | {"node": side}) for side in "ab")
+
+    def near() -> Column:
+        gap = [F.greatest(F.col(f"lo{a}_b") - F.col(f"hi{a}_a"), F.col(f"lo{a}_a") - F.col(f"hi{a}_b"), F.lit(0.0)) for a in AXES]
+        return F.sqrt(sum((g * g for g in gap), F.lit(0.0)))
+
+    def far() -> Column:
+        span = [F.greatest(F.col(f"hi{a}_b") - F.col(f"lo{a}_a"), F.col(f"hi{a}_a") - F.col(f"lo{a}_b")) for a in AXES]
+        return F.sqrt(sum((g * g for g in span), F.lit(0.0)))
+
+    kept = ["a", "b", *[f"k{a}_{side}" for side in "ab" for a in AXES], "m_a", "m_b", near().alias("near"), far().alias("far")]
+    # Each pair of cells once: offsets with a positive first number that isn't 0.
+    steps = [(x, y, z) for x in range(-2, 3) for y in range(-2, 3) for z in range(-2, 3) if (x, y, z) > (0, 0, 0)]
+    left, right = sides(0)
+    spread = left.select("*", F.explode(F.array(*[F.struct(*[F.lit(v).alias(f"s{a}") for v, a in zip(s, AXES, strict=True)]) for s in steps])).alias("step"))
+    spread = spread.withColumns({c: F.col(c) + F.col(f"step.s{a}") for c, a in zip(cells, AXES, strict=True)}).drop("step")
+    pairs = spread.join(right, [*by, *cells]).select(*kept)
+    links, level = [], 0
+    while True:
+        pairs = work.keep(pairs.where(F.col("near") <= eps * (1 + 1e-9)))
+        sure = work.keep(pairs.where(F.col("far") <= eps * (1 - 1e-9)).select("a", "b").distinct())
+        open_ = pairs.join(sure, ["a", "b"], "left_anti")
+        small = (F.col("m_a") * F.col("m_b") <= FEW_PAIRS) | F.lit(level >= MOST_LEVELS)
+        keyed = [core.select(F.col("node").alias(side), *[F.col(a).alias(f"{a}_{side}") for a in AXES], *[F.floor((F.col(a) - F.col(c) * width) / width * 2**level).alias(f"k{a}_{side}") for a, c in zip(AXES, cells, strict=True)]) for side in "ab"]
+        met = open_.where(small)
+        for side, rows in zip("ab", keyed, strict=True):
+            met = met.join(rows, [side, *[f"k{a}_{side}" for a in AXES]])
+        square = sum(((F.col(f"{a}_a") - F.col(f"{a}_b")) * (F.col(f"{a}_a") - F.col(f"{a}_b")) for a in AXES), F.lit(0.0))
+        found = work.keep(met.where(F.sqrt(square) <= eps).select("a", "b").distinct())
+        links += [sure, found]
+        open_ = work.keep(open_.where(~small).join(found, ["a", "b"], "left_anti"))
+        if open_.isEmpty():
+            return reduce(DataFrame.unionByName, links).distinct()
+        level += 1
+        left, right = sides(level)
+        above = open_.select("a", "b", *[F.col(f"k{a}_{side}").alias(f"p{a}_{side}") for side in "ab" for a in AXES])
+        for side, rows in (("a", left), ("b", right)):
+            own = rows.select(side, *[c for c in rows.columns if c.endswith(f"_{side}")], *[F.floor(F.col(f"k{a}_{side}") / 2).alias(f"p{a}_{side}") for a in AXES])
+            above = above.join(own, [side, *[f"p{a}_{side}" for a in AXES]])
+        pairs = above.select(*kept)
 
 
 def cluster_sizes(cloud: DataFrame) -> DataFrame:
@@ -127,47 +197,55 @@ def grouped(cloud: DataFrame, k: int = 4, by: str = "label") -> DataFrame:
     return cloud.join(numbers, by, "left").withColumn("group_label", F.coalesce("group_label", F.lit(-1)))
 
 
-def k_distance(cloud: DataFrame) -> DataFrame:
-    """(rank, d): every point's distance to its nearest other point, ascending."""
-    two = nearest(cloud, cloud, 2).where("place = 2").select("d", "qid")
-    return ranked(two, ["d", "qid"]).select("rank", "d")
+def k_distance(cloud: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by, rank, d): every point's distance to its nearest other point, ascending, in each group of by."""
+    by = by or []
+    two = nearest(cloud, cloud, 2, by=by).where("place = 2").select(*by, "d", "qid")
+    curve = ranked(two, [*by, "d", "qid"])
+    if by:  # ranks go through all groups; each group's own start at its first
+        curve = saved(curve)
+        curve = curve.join(curve.groupBy(*by).agg(F.min("rank").alias("_first")), by).withColumn("rank", F.col("rank") - F.col("_first"))
+    return curve.select(*by, "rank", "d")
 
 
-def _blocks(curve: DataFrame, reach: int, size: int = 100_000) -> tuple[DataFrame, Window]:
-    """The curve in blocks of ranks, each with the rows that reach into it from its neighbours, so windows need no single task."""
+def _blocks(curve: DataFrame, reach: int, by: list[str], size: int = 100_000) -> tuple[DataFrame, Window]:
+    """The curves in blocks of ranks, each with the rows that reach into it from its neighbours, so windows need no single task."""
     at = F.floor(F.col("rank") / size)
     near = F.array_distinct(F.array(F.floor((F.col("rank") - reach) / size), at, F.floor((F.col("rank") + reach) / size)))
-    return curve.withColumn("home", at).withColumn("block", F.explode(near)), Window.partitionBy("block").orderBy("rank")
+    return curve.withColumn("home", at).withColumn("block", F.explode(near)), Window.partitionBy(*by, "block").orderBy("rank")
 
 
-def gradient(curve: DataFrame) -> DataFrame:
-    """(rank, d, slope): central differences, and three-point ones at both ends."""
-    wide, w = _blocks(curve, 2)
+def gradient(curve: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by, rank, d, slope): central differences, and three-point ones at both ends."""
+    by = by or []
+    wide, w = _blocks(curve, 2, by)
     d = lambda k: F.lag("d", -k).over(w) if k < 0 else F.lead("d", k).over(w) if k else F.col("d")
     back = lambda k: F.lag("d", k).over(w)
     first = (-3 * d(0) + 4 * d(1) - d(2)) / 2
     last = (3 * d(0) - 4 * back(1) + back(2)) / 2
     out = wide.withColumn("slope", F.coalesce((d(1) - back(1)) / 2, F.when(back(1).isNull(), first), last)).where("block = home")
-    return out.select("rank", "d", "slope")
+    return out.select(*by, "rank", "d", "slope")
 
 
-def smoothed(slopes: DataFrame, half: int = 25) -> DataFrame:
-    """(rank, d, slope, smooth): the cubic Savitzky-Golay mean of 2 * half + 1 slopes; null where fewer stand around."""
+def smoothed(slopes: DataFrame, half: int = 25, by: list[str] | None = None) -> DataFrame:
+    """(by, rank, d, slope, smooth): the cubic Savitzky-Golay mean of 2 * half + 1 slopes; null where fewer stand around."""
+    by = by or []
     n = 2 * half + 1
     s2, s4 = 2 * sum(k**2 for k in range(1, half + 1)), 2 * sum(k**4 for k in range(1, half + 1))
     weight = lambda k: (s4 - s2 * k * k) / (n * s4 - s2 * s2)
-    wide, w = _blocks(slopes, half)
+    wide, w = _blocks(slopes, half, by)
     around = F.collect_list("slope").over(w.rowsBetween(-half, half))
     weights = F.array(*[F.lit(weight(k)) for k in range(-half, half + 1)])
     total = F.aggregate(F.zip_with("around", weights, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
     out = wide.withColumn("around", around).where("block = home").withColumn("smooth", F.when(F.size("around") == n, total))
-    return out.select("rank", "d", "slope", "smooth")
+    return out.select(*by, "rank", "d", "slope", "smooth")
 
 
-def epsilon(cloud: DataFrame, start: int = 5000, threshold: float = 5e-5) -> DataFrame:
-    """One row, eps: the distance at the first rank from start on whose smoothed slope is over the threshold; null if there is none."""
-    curve = smoothed(gradient(k_distance(cloud)))
-    return curve.where((F.col("rank") >= start) & (F.col("smooth") > threshold)).agg(F.min_by("d", "rank").alias("eps"))
+def epsilon(cloud: DataFrame, start: int = 5000, threshold: float = 5e-5, by: list[str] | None = None) -> DataFrame:
+    """(by, eps): the distance at the first rank from start on whose smoothed slope is over the threshold. One row, null if there is none; with by a row for each group that has one."""
+    curve = smoothed(gradient(k_distance(cloud, by), by), by=by)
+    over = curve.where((F.col("rank") >= start) & (F.col("smooth") > threshold))
+    return (over.groupBy(*by) if by else over).agg(F.min_by("d", "rank").alias("eps"))
 
 
 def assign(cloud: DataFrame, centers: list[tuple[float, ...]], columns: tuple[str, ...]) -> DataFrame:
@@ -211,18 +289,16 @@ def segment(cloud: DataFrame, k: int = 4, eps: float | None = None, least: int =
 
 
 def knee_clusters(cloud: DataFrame, by: str, more: float, start: int, threshold: float) -> DataFrame:
-    """cloud with label: density clusters inside each group of by (few), each with its knee and more as eps; -1 for noise and for groups without a knee. Numbered through all groups by their smallest point."""
-    found = []
-    for (name,) in cloud.select(by).distinct().orderBy(by).collect():  # a row for each group
-        own = cloud.where(F.col(by) == name)
-        eps = epsilon(own, start, threshold).first()["eps"]
-        found.append(own.drop("label").withColumn("label", F.lit(-1)) if eps is None else dbscan(own, eps + more))
-    if not found:
-        return cloud.withColumn("label", F.lit(-1))
-    rows = saved(reduce(DataFrame.unionByName, found))
-    firsts = rows.where("label >= 0").groupBy(by, "label").agg(F.min("point_id").alias("first"))
-    numbers = ranked(firsts, ["first"]).select(by, "label", F.col("rank").cast("int").alias("number"))
-    return rows.join(numbers, [by, "label"], "left").withColumn("label", F.coalesce("number", F.lit(-1))).drop("number")
+    """cloud with label: density clusters inside each group of by, each with its knee and more as eps; -1 for noise and for groups without a knee. Numbered through all groups by their smallest point.
+
+    All groups are clustered at once: each group's places are measured in its own eps."""
+    knees = epsilon(cloud, start, threshold, [by]).select(by, (F.col("eps") + more).alias("_eps"))
+    rows = saved(cloud.drop("label").join(knees, by, "left"))
+    own = dbscan(rows.where("_eps > 0").select(by, "point_id", *[(F.col(a) / F.col("_eps")).alias(a) for a in AXES]), 1.0, by=[by])
+    found = saved(own.where("label >= 0").select(by, "point_id", F.col("label").alias("_label")))
+    numbers = ranked(found.groupBy("_label").agg(F.min("point_id").alias("first")), ["first"]).select("_label", F.col("rank").cast("int").alias("number"))
+    labels = found.join(numbers, "_label").select(by, "point_id", "number")
+    return rows.join(labels, [by, "point_id"], "left").withColumn("label", F.coalesce("number", F.lit(-1))).drop("number", "_eps")
 
 
 def extreme_clusters(cloud: DataFrame) -> DataFrame:
