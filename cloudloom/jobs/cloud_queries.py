@@ -52,6 +52,7 @@ QUERIES = {
     "column_extrema": lambda s, d: voxel.column_extrema(events_cloud(s, d)),
     "region_recovery_6rounds": lambda s, d: _recovered(s, d).select("segment_id", "point_id"),
     "recovery_ratio": _ratio,
+    "region_recovery_in_order": lambda s, d: voxel.recover_in_order(seed_region(events_cloud(s, d)), events_cloud(s, d).select("point_id", "x", "y", "z"), SIZES).select("segment_id", "point_id"),
     "adaptive_parameters": lambda s, d: voxel.metrics(events_cloud(s, d)).select(voxel.threshold_cell(200).alias("size")),
     "select_by_index": lambda s, d: events_cloud(s, d).join(embeddings_cloud(s, d).where("label < 5").select("point_id"), "point_id", "left_semi").select("point_id", "x"),
     "antiselect_by_index": lambda s, d: events_cloud(s, d).join(embeddings_cloud(s, d).where("label < 5").select("point_id"), "point_id", "left_anti").select("point_id", "x"),
@@ -84,6 +85,21 @@ def _recover_sql() -> str:
     return "WITH " + ", ".join(parts)
 
 
+def _in_order_sql() -> str:
+    """One segment after the other, each in the cloud that is left."""
+    parts = [_recover_sql().removeprefix("WITH ").split(", o0 AS")[0]]
+    for seg in range(5):
+        taken = " UNION ALL ".join(f"SELECT point_id FROM s{k}_{len(SIZES)}" for k in range(seg)) or "SELECT NULL WHERE FALSE"
+        parts += [f"left{seg} AS MATERIALIZED (SELECT * FROM cloud WHERE point_id NOT IN ({taken}))", f"s{seg}_0 AS (SELECT x, y, z FROM r0 WHERE segment_id = {seg})"]
+        for k, v in enumerate(SIZES):
+            cells = lambda t: ", ".join(f"floor(({t}.{a} - o{a}) / {v}::DOUBLE)" for a in "xyz")
+            parts += [
+                f"so{seg}_{k} AS (SELECT {', '.join(f'min({a}) - {v}::DOUBLE / 2 AS o{a}' for a in 'xyz')} FROM s{seg}_{k})",
+                f"s{seg}_{k + 1} AS MATERIALIZED (SELECT p.point_id, p.x, p.y, p.z FROM left{seg} p, so{seg}_{k} WHERE ({cells('p')}) IN (SELECT ({cells('r')}) FROM s{seg}_{k} r, so{seg}_{k}))",
+            ]
+    return "WITH " + ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT {seg}::INT AS segment_id, point_id FROM s{seg}_{len(SIZES)}" for seg in range(5))
+
+
 _MOVED = ", ".join(f"round(x * {m[0]}::DOUBLE + y * {m[1]}::DOUBLE + z * {m[2]}::DOUBLE + {m[3]}::DOUBLE, 9) AS {a}, round(nx * {m[0]}::DOUBLE + ny * {m[1]}::DOUBLE + nz * {m[2]}::DOUBLE, 9) AS n{a}" for a, m in zip("xyz", MATRIX, strict=False))
 
 SQL = {
@@ -107,6 +123,7 @@ SQL = {
     "column_extrema": f"""SELECT CAST(floor(x / 0.5::DOUBLE) AS BIGINT) AS i, CAST(floor(y / 0.5::DOUBLE) AS BIGINT) AS j, arg_max(point_id, row(z, -point_id)) AS max_id, arg_min(point_id, row(z, point_id)) AS min_id
  FROM {EVENTS_SQL} GROUP BY 1, 2""",
     "region_recovery_6rounds": f"{_recover_sql()} SELECT segment_id, point_id FROM r6",
+    "region_recovery_in_order": _in_order_sql(),
     "recovery_ratio": f"{_recover_sql()} SELECT (SELECT count(*) FROM r6) AS recovered, count(*) AS total, round(least(100.0::DOUBLE, (SELECT count(*) FROM r6) / count(*) * 100), 9) AS ratio FROM cloud",
     "adaptive_parameters": f"SELECT CASE WHEN greatest(dx, dy, dz) * 200 > 2500 THEN 12 WHEN greatest(dx, dy, dz) * 200 > 2000 THEN 10 WHEN greatest(dx, dy, dz) * 200 > 1500 THEN 8 ELSE 6 END AS size FROM {_METRICS}",
     "select_by_index": f"SELECT point_id, x FROM {EVENTS_SQL} WHERE point_id IN (SELECT vec_id FROM embeddings WHERE label < 5)",

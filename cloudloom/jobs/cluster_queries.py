@@ -46,7 +46,26 @@ def _lines(s, d):
     return workflows.line_points(embeddings_cloud(s, d), "white", size=6.0)
 
 
+def _parts(s, d):
+    """The parts of each brand in their order, numbered from 0."""
+    return saved(curves.numbered(part_curves(s, d), "segment", ["seq"]))
+
+
+def _merged_lines(s, d):
+    """The edges of all brands' lines as one line set, with the places of their ends."""
+    own = _parts(s, d)
+    vertices, edges = curves.merged(own, curves.path(own, "segment"), "segment")
+    ends = [vertices.select(F.col("vertex").alias(c), *[F.col(a).alias(f"{a}_{c}") for a in "xyz"]) for c in "ab"]
+    return rounded(edges.join(ends[0], "a").join(ends[1], "b").select("segment", "a", "b", *[f"{a}_{c}" for c in "ab" for a in "xyz"]), *[f"{a}_{c}" for c in "ab" for a in "xyz"])
+
+
+def _curves(s, d):
+    return curves.cluster_curves(embeddings_cloud(s, d)).select("label", "vertex", "point_id", *[F.round(a, 4).alias(a) for a in "xyz"])
+
+
 QUERIES = {
+    "merged_lines": _merged_lines,
+    "cluster_curves": _curves,
     "cluster_aspects": lambda s, d: clusters.aspects(embeddings_cloud(s, d)).select("label", F.round("aspect", 6).alias("aspect")),
     "cluster_similarity_aspects": lambda s, d: clusters.similarity(embeddings_cloud(s, d), "label", clusters.aspects(embeddings_cloud(s, d))).select("a", "b", F.round("similarity", 6).alias("similarity")),
     "cluster_groups": lambda s, d: clusters.grouped(embeddings_cloud(s, d)).select("point_id", "label", "group_label"),
@@ -107,6 +126,8 @@ def _adaptive(cloud: str, keys: str, c: int) -> str:
 
 
 SQL = {
+    "merged_lines": f"""WITH own AS (SELECT *, row_number() OVER (ORDER BY segment, seq) - 1 AS a FROM {PARTS_SQL})
+ SELECT p.segment, p.a, q.a AS b, {", ".join(f"round({t}.{c}, 9) AS {c}_{n}" for t, n in (("p", "a"), ("q", "b")) for c in "xyz")} FROM own p JOIN own q ON q.segment = p.segment AND q.a = p.a + 1""",
     "k_distance_curve": f"{_CURVE} SELECT rank, round(d, 9) AS d FROM curve",
     "k_distance_gradient": f"{_SLOPE} SELECT rank, round(d, 9) AS d, round(slope, 9) AS slope FROM slopes",
     "k_distance_smoothed": f"{_SMOOTH} SELECT rank, round(smooth, 9) AS smooth FROM smooth",

@@ -1,4 +1,4 @@
-"""Curves through clusters: ordered edges and polynomial fits."""
+"""Curves through clusters: ordered edges, polynomial fits, curves in space and line sets made of many."""
 
 from __future__ import annotations
 
@@ -7,6 +7,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cloudloom.functions.geometry import AXES
+from cloudloom.operators.clusters import ranked
+from cloudloom.operators.raster import principal_axes, to_axes
+from cloudloom.sources.shared import saved
+
+#: Degrees of a curve's y and z over its x, and the least points of a cluster that has one.
+DEGREES, LEAST = (3, 4), 5
+
 
 def edges(points: DataFrame) -> DataFrame:
     """points (segment, seq, x, y, z) with x2, y2, z2 of the next point of their segment; the last point has none."""
@@ -35,3 +43,39 @@ def polynomials(cloud: DataFrame, by: str, x: str, y: str, degree: int) -> DataF
 
     kind = cloud.schema[by].dataType.simpleString()
     return sums.mapInPandas(solve, f"{by} {kind}, n long, coefficients array<double>")
+
+
+def cluster_curves(cloud: DataFrame, by: str = "label", degrees: tuple[int, int] = DEGREES, least: int = LEAST) -> DataFrame:
+    """(by, vertex, point_id, x, y, z): a curve through each cluster of least points or more. Along the cluster's first principal axis its points are ordered (vertex, from 0) and moved onto the polynomials of the two other axes, then turned back."""
+    few = cloud.groupBy(by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < least).select(by)
+    own = cloud.join(few, by, "left_anti").select(F.col(by).cast("int").alias("segment_id"), "point_id", *AXES)
+    axes = saved(principal_axes(own))
+    turned = saved(to_axes(own, axes))
+    fits = [polynomials(turned, "segment_id", "x", a, degree).select("segment_id", F.col("coefficients").alias(f"c{a}")) for a, degree in zip("yz", degrees, strict=True)]
+    value = lambda a, degree: F.aggregate(F.reverse(f"c{a}"), F.lit(0.0), lambda s, c: s * F.col("x") + c)
+    bent = turned.join(fits[0], "segment_id").join(fits[1], "segment_id").withColumns({a: value(a, d) for a, d in zip("yz", degrees, strict=True)})
+    placed = numbered(bent.select("segment_id", "point_id", *AXES), "segment_id", ["x", "point_id"])
+    back = to_axes(placed, axes, back=True)
+    return back.select(F.col("segment_id").cast(cloud.schema[by].dataType).alias(by), "vertex", "point_id", *AXES)
+
+
+def numbered(rows: DataFrame, by: str, order: list[str]) -> DataFrame:
+    """rows with vertex, their place in their part (by) from 0; a part of any size spreads over tasks."""
+    every = saved(ranked(rows, [by, *order]))
+    return every.join(every.groupBy(by).agg(F.min("rank").alias("_first")), by).withColumn("vertex", F.col("rank") - F.col("_first")).drop("rank", "_first")
+
+
+def path(vertices: DataFrame, by: str) -> DataFrame:
+    """(by, a, b): the edges from each vertex to the next of its part."""
+    ends = vertices.select(by, (F.col("vertex") - 1).alias("vertex"), F.col("vertex").alias("b"))
+    return vertices.select(by, "vertex").join(ends, [by, "vertex"]).select(by, F.col("vertex").alias("a"), "b")
+
+
+def merged(vertices: DataFrame, faces: DataFrame, by: str, corners: tuple[str, ...] = ("a", "b")) -> tuple[DataFrame, DataFrame]:
+    """(vertices, faces) of many meshes or line sets as one: vertices (by, vertex) numbered through all parts, one part after the other, and the corners of faces moved by their part's first number.
+
+    Numbers of a part must run from 0 without gaps."""
+    every = saved(ranked(vertices, [by, "vertex"]))
+    first = every.groupBy(by).agg(F.min("rank").alias("_first"))
+    moved = faces.join(first, by).withColumns({c: F.col(c) + F.col("_first") for c in corners}).drop("_first")
+    return every.withColumn("vertex", F.col("rank")).drop("rank"), moved

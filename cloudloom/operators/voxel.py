@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,6 +87,31 @@ def _recovered(current: DataFrame, full: DataFrame, sizes: tuple[float, ...], wo
     return current
 
 
+def recover_in_order(region: DataFrame, full: DataFrame, sizes: tuple[float, ...] = (1.0, 0.8, 1.0, 0.6, 1.0, 0.5)) -> DataFrame:
+    """(segment_id, point_id, x, y, z) as recover, but a segment takes its points: segments go by their number, and those after it find the cloud without them.
+
+    A round reaches no farther than its cells are wide, so a segment's points lie in its box widened by all of these. Segments whose boxes meet no earlier one that still waits go at once;
+    there are as many turns as the longest chain of boxes that meet, not as segments."""
+    reach = sum(sizes) * (1 + 1e-9)
+    with Workspace(full.sparkSession) as work:
+        region = work.keep(region.select("segment_id", *AXES))
+        boxes = work.keep(region.groupBy("segment_id").agg(*[f.alias(f"{n}{a}") for a in AXES for n, f in (("lo", F.min(a) - reach), ("hi", F.max(a) + reach))]))
+        wide = boxes.agg(F.max(F.col("hix") - F.col("lox"))).first()[0] or 1.0
+        # Boxes that meet share a strip of x as wide as the widest.
+        strips = boxes.withColumn("strip", F.explode(F.sequence(F.floor(F.col("lox") / wide), F.floor(F.col("hix") / wide))))
+        later = strips.withColumnsRenamed({c: f"{c}_2" for c in boxes.columns})
+        meet = reduce(Column.__and__, [(F.col(f"lo{a}") <= F.col(f"hi{a}_2")) & (F.col(f"lo{a}_2") <= F.col(f"hi{a}")) for a in AXES])
+        before = work.keep(strips.join(later, "strip").where(meet & (F.col("segment_id") < F.col("segment_id_2"))).select("segment_id", F.col("segment_id_2").alias("later")).distinct())
+        waiting, left, found = work.keep(boxes.select("segment_id")), full.select("point_id", *AXES), []
+        while not waiting.isEmpty():
+            held = before.join(waiting, "segment_id").select(F.col("later").alias("segment_id")).distinct()
+            now = work.keep(waiting.join(held, "segment_id", "left_anti"))
+            found.append(work.keep(_recovered(region.join(now, "segment_id", "left_semi"), left, sizes, work)))
+            left = work.keep(left.join(found[-1].select("point_id"), "point_id", "left_anti"))
+            waiting = work.keep(waiting.join(now, "segment_id", "left_anti"))
+        return saved(reduce(DataFrame.unionByName, found)) if found else saved(left.limit(0).withColumn("segment_id", F.lit(0)).select("segment_id", "point_id", *AXES))
+
+
 def recovery_ratio(recovered: DataFrame, full: DataFrame) -> DataFrame:
     """Points recovered as a percentage of all, at most 100."""
     return recovered.agg(F.count(F.lit(1)).alias("recovered")).join(full.agg(F.count(F.lit(1)).alias("total"))).withColumn("ratio", F.least(F.lit(100.0), F.col("recovered") / F.col("total") * 100))
