@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cloudloom.functions.geometry import AXES, affine
 from cloudloom.operators import neighbors, register
-from cloudloom.sources.clouds import EMBEDDINGS_SQL, embeddings_cloud
+from cloudloom.sources.clouds import EMBEDDINGS_SQL, EVENTS_SQL, embeddings_cloud, events_cloud
 
 SHIFT = 0.5
 
@@ -85,6 +85,7 @@ QUERIES = {
     "register_scales": _registered,
     "ransac_register": _ransac,
     "knn_self": lambda s, d: _pairs(neighbors.nearest(embeddings_cloud(s, d), embeddings_cloud(s, d), 8)),
+    "knn_cells": lambda s, d: _pairs(neighbors.nearest(events_cloud(s, d), events_cloud(s, d), 4)),
     "knn_two_sides": lambda s, d: _pairs(neighbors.nearest(embeddings_cloud(s, d).where("label = 0"), embeddings_cloud(s, d).where("label <> 0"), 12)),
     "radius_neighbors": lambda s, d: _pairs(neighbors.capped(neighbors.within(embeddings_cloud(s, d), embeddings_cloud(s, d), 5.0), 10)),
     "exact_match": lambda s, d: neighbors.exact_matches(embeddings_cloud(s, d).where("label < 5"), embeddings_cloud(s, d)),
@@ -147,6 +148,10 @@ def _fpfh_sql() -> str:
 
 SQL = {
     "fpfh": _fpfh_sql(),
+    # Top lists instead of a window: every point of the larger cloud asks, more than are ever sent to all points.
+    "knn_cells": f"""WITH cloud AS MATERIALIZED (SELECT * FROM {EVENTS_SQL}),
+ near AS (SELECT q.point_id AS qid, min({{'d': sqrt((q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y) + (q.z - p.z) * (q.z - p.z)), 'pid': p.point_id}}, 4) AS best FROM cloud q, cloud p GROUP BY q.point_id)
+ SELECT qid AS point_id, best[place].pid AS neighbor_id, round(best[place].d, 9) AS d, CAST(place AS INT) AS place FROM near, (SELECT unnest([1, 2, 3, 4]) AS place)""",
     "knn_self": f"{_CLOUD} SELECT {_SHOWN} FROM {_nearest('e', 'e', 8)}",
     "knn_two_sides": f"{_CLOUD} SELECT {_SHOWN} FROM {_nearest('(SELECT * FROM e WHERE label = 0)', '(SELECT * FROM e WHERE label <> 0)', 12)}",
     "radius_neighbors": f"{_CLOUD} SELECT {_SHOWN} FROM {_nearest('e', 'e', 10, f'{_D} <= 5')}",
