@@ -25,9 +25,23 @@ def unmoved() -> Column:
     return F.floor(F.rand(0)).cast("long")
 
 
-def lookup(table: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
-    """table, a written one with a few numbers a row, hinted to be broadcast if it is counted to have most_rows rows at most; beyond that, joins with it shuffle."""
-    return F.broadcast(table) if table.count() <= most_rows else table
+def lookup(table: DataFrame, most_rows: int = 1_000_000, entries: Column | None = None) -> DataFrame:
+    """table, a written one with a few numbers a row, hinted to be broadcast if it is counted to have most_rows rows at most; beyond that, joins with it shuffle.
+
+    entries: how many numbers a row's list holds, if it has one; then these are counted, with one for the row."""
+    n = table.count() if entries is None else table.agg(F.sum(entries + 1)).first()[0] or 0
+    return F.broadcast(table) if n <= most_rows else table
+
+
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """Names for an operator's own columns: those given, with as many underscores more as it takes to differ from all of docs, whatever their case."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+        taken.add(name.lower())
+    return out
 
 
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cloudloom.llm.common import lookup, saved, slices
+from cloudloom.llm.common import lookup, saved, slices, unused
 from cloudloom.llm.licenses import words_of
 
 K1, B, BLOCK = 1.2, 0.75, 4
@@ -233,7 +233,8 @@ def _search(docs: DataFrame, index: Index, schema: T.StructType, key: str, text:
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """docs without those that hold a leaked item."""
     # Whether a text leaks hangs on it alone, so its digest can stand for an id that is null.
-    named = docs.withColumn("_key", F.struct(F.col(key).alias("id"), F.when(F.col(key).isNull(), F.md5(text)).alias("own")))
-    leaks = find(named, benchmark, "_key", text, **options).where("leaked").select(F.col("_key.id").alias("_id"), F.col("_key.own").alias("_own")).distinct()
-    same = F.col("_key.id").eqNullSafe(F.col("_id")) & F.col("_key.own").eqNullSafe(F.col("_own"))
-    return named.join(lookup(saved(leaks)), same, "left_anti").drop("_key")
+    name, id_, own = unused(docs, "_key", "_id", "_own")
+    named = docs.withColumn(name, F.struct(F.col(key).alias("id"), F.when(F.col(key).isNull(), F.md5(text)).alias("own")))
+    leaks = find(named, benchmark, name, text, **options).where("leaked").select(F.col(f"{name}.id").alias(id_), F.col(f"{name}.own").alias(own)).distinct()
+    same = F.col(f"{name}.id").eqNullSafe(F.col(id_)) & F.col(f"{name}.own").eqNullSafe(F.col(own))
+    return named.join(lookup(saved(leaks)), same, "left_anti").drop(name)

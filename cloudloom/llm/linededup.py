@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloudloom.llm.common import lookup, saved, shared_folder, unmoved
+from cloudloom.llm.common import lookup, saved, shared_folder, unmoved, unused
 
 #: log2 of the sketch's registers, and the relative error of an estimate (1.04 / sqrt(registers)) times 4.
 LG_K = 10
@@ -58,19 +58,21 @@ def spread(lines: DataFrame, min_sites: int) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, id_: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = 5, min_words: int = 3) -> DataFrame:
     """docs with the text less its repeated boilerplate lines, and n_lines and n_removed (long; 0 for a null text)."""
-    docs = docs.drop("n_lines", "n_removed", "_gone", "_id", "_own", "_parts")
+    docs = docs.drop("n_lines", "n_removed")
+    id_of, own, places, parts = unused(docs, "_id", "_own", "_gone", "_parts")
     # Four steps read the lines; their keys are written once, a few bytes for each line.
     lines = saved(_lines(docs, id_, text, site, min_words), shared_folder(docs.sparkSession))
     known = spread(lines, min_sites)
     at_first = F.col("id").eqNullSafe(F.col("first.id")) & F.col("own").eqNullSafe(F.col("first.own")) & (F.col("pos") == F.col("first.pos"))
     gone = lines.join(known, "key").where(~at_first)
     # One row a document with the places to remove; a document's lines already share one row of the input.
-    gone = gone.select(F.col("id").alias("_id"), F.col("own").alias("_own"), "pos").distinct().groupBy("_id", "_own").agg(F.collect_list("pos").alias("_gone"))
+    gone = gone.select(F.col("id").alias(id_of), F.col("own").alias(own), "pos").distinct().groupBy(id_of, own).agg(F.collect_list("pos").alias(places))
     # Texts are shuffled only where the places are too many for a broadcast.
-    joined = docs.join(lookup(saved(gone)), F.col(id_).eqNullSafe(F.col("_id")) & _own(id_, text).eqNullSafe(F.col("_own")), "left").withColumn("_parts", F.split(text, "\n"))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_parts") - 1), F.col("_gone"))
+    few = lookup(saved(gone), entries=F.size(places))
+    joined = docs.join(few, F.col(id_).eqNullSafe(F.col(id_of)) & _own(id_, text).eqNullSafe(F.col(own)), "left").withColumn(parts, F.split(text, "\n"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(places))
     return joined.withColumns({
-        text: F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(kept, lambda i: F.get("_parts", i)), "\n")),
-        "n_lines": F.coalesce(F.size("_parts"), F.lit(0)).cast("long"),
-        "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long") + unmoved(),
-    }).drop("_id", "_own", "_gone", "_parts")
+        text: F.when(F.col(places).isNull(), F.col(text)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n")),
+        "n_lines": F.coalesce(F.size(parts), F.lit(0)).cast("long"),
+        "n_removed": F.coalesce(F.size(places), F.lit(0)).cast("long") + unmoved(),
+    }).drop(id_of, own, places, parts)

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cloudloom.llm.common import slices, vocabulary_file
+from cloudloom.llm.common import slices, unused, vocabulary_file
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -516,7 +516,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: s
 
     verify adds lossless: whether decoding the pieces gives the text again (null for a null text).
     """
-    docs = docs.drop("pieces", "_key", *["lossless"] * verify)
+    docs = docs.drop("pieces", *["lossless"] * verify)
+    (name,) = unused(docs, "_key")
     own = F.col(key).cast("long") if isinstance(docs.schema[key].dataType, T.IntegralType) else F.xxhash64(key)
     schema = T.StructType([*docs.schema.fields, T.StructField("pieces", T.ArrayType(T.IntegerType())), *[T.StructField("lossless", T.BooleanType())] * verify])
     shared = shared_vocabulary(docs.sparkSession, vocabulary)
@@ -526,7 +527,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: s
         for batch in batches:
             for part in slices(batch, text, 2 << 20):
                 texts = part.column(text).to_pylist()
-                flat, sizes = sampler.encode_all(texts, part.column("_key").to_pylist())
+                flat, sizes = sampler.encode_all(texts, part.column(name).to_pylist())
                 ends = np.concatenate([[0], np.cumsum(sizes)])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat), mask=pa.array([t is None for t in texts]))
                 extra = []
@@ -535,7 +536,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: s
                     extra = [pa.array(same, pa.bool_())]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists, *extra], names=schema.names)
 
-    return docs.withColumn("_key", F.coalesce(F.when(F.col(key).isNotNull(), own), F.lit(0).cast("long"))).mapInArrow(run, schema)
+    return docs.withColumn(name, F.coalesce(F.when(F.col(key).isNotNull(), own), F.lit(0).cast("long"))).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, pieces: str = "pieces", to: str = "decoded") -> DataFrame:

@@ -36,7 +36,7 @@ def parsed(arguments: str | None) -> tuple[bool, object]:
         return False, None
     try:
         value = json.loads(arguments)
-        canonical(value)
+        canonical([[[[[[[[value]]]]]]]])  # deeper than a conversation's JSON holds it
     except (ValueError, RecursionError):
         return False, arguments
     return True, value
