@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cloudloom.functions.geometry import AXES, cell, inverted
-from cloudloom.sources.shared import saved
+from cloudloom.sources.shared import Workspace, saved
 
 
 #: Queries that may be sent to all points: a bounded number, whatever the clouds' sizes.
@@ -59,8 +59,10 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, axes: tuple[str, ...]
     asking = queries.count() if len(axes) > 4 else queries.limit(FEW + 1).count()
     if asking <= FEW:
         return _sent(queries, points, k, axes, by)
-    if len(axes) > 4:  # cells around a point are too many; the queries are a stated set against all points, in blocks
-        blocks = -(-asking // FEW)
+    if len(axes) > 4:  # cells around a point are too many
+        if not by:
+            return _by_pivots(queries, points, k, axes, n)
+        blocks = -(-asking // FEW)  # the queries are a stated set against all points, in blocks
         return reduce(DataFrame.unionByName, [_sent(queries.where(F.pmod(F.xxhash64("point_id"), F.lit(blocks)) == b), points, k, axes, by) for b in range(blocks)])
     spans = [max(bounds[2 + 2 * i], asked[1 + 2 * i]) - min(bounds[1 + 2 * i], asked[2 * i]) for i in range(len(axes))]
     extents = [max(bounds[2 + 2 * i] - bounds[1 + 2 * i], 1e-9) for i in range(len(axes))]
@@ -125,6 +127,78 @@ def _sent(queries: DataFrame, points: DataFrame, k: int, axes: tuple[str, ...],
     return capped(kept.mapInPandas(run, schema), k, by)
 
 
+#: Pivots of a join over many axes at most; they are sent to all tasks.
+MOST_PIVOTS = 4096
+
+
+def _by_pivots(queries: DataFrame, points: DataFrame, k: int, axes: tuple[str, ...], n: int) -> DataFrame:
+    """The k nearest points of each query over many axes, exact by the triangle inequality.
+
+    Each point lies in the part of its nearest pivot, a point of the cloud; there are about twice the root of n, MOST_PIVOTS at most. A query first looks into the part of its own nearest pivot
+    for k points; their distance bounds how far it has to look, and so which parts, and which rings around their pivots, can hold a nearer one."""
+    with Workspace(queries.sparkSession) as work:
+        pairs = pivot_pairs(queries, points, k, axes, min(MOST_PIVOTS, max(1, int(2 * n**0.5))), work)
+        return saved(capped(pairs.withColumn("d", distance(axes)).where(F.col("d") <= F.col("far")).select("qid", "pid", "d"), k))
+
+
+def pivot_pairs(queries: DataFrame, points: DataFrame, k: int, axes: tuple[str, ...], pivots: int, work: Workspace) -> DataFrame:
+    """(qid, q*, pid, p*, far): for each query the points that its bound (far) leaves, the k nearest among them."""
+    spark, slack = queries.sparkSession, 1 + 1e-9
+    chosen = points.orderBy(F.xxhash64("point_id"), "point_id").limit(pivots).select(*axes).toPandas().to_numpy(float)
+    shared = spark.sparkContext.broadcast(chosen)
+    names = {"q": [f"q{a}" for a in axes], "p": [f"p{a}" for a in axes]}
+
+    def distances(at: np.ndarray) -> np.ndarray:
+        """To all pivots."""
+        return np.stack([np.sqrt(np.square(at - p).sum(axis=1)) for p in shared.value], axis=1) if len(at) else np.zeros((0, len(shared.value)))
+
+    def placed(batches):
+        for pdf in batches:
+            for start in range(0, len(pdf), 2048):
+                own = pdf.iloc[start : start + 2048]
+                d = distances(own[axes_of].to_numpy(float))
+                yield own.assign(part=d.argmin(axis=1) if len(d) else np.zeros(0, int), gap=d.min(axis=1) if len(d) else np.zeros(0))
+
+    def sided(cloud: DataFrame, side: str) -> DataFrame:
+        return cloud.select(F.col("point_id").alias(f"{side}id"), *[F.col(a).cast("double").alias(f"{side}{a}") for a in axes])
+
+    def numbered(side: DataFrame) -> DataFrame:
+        return side.mapInPandas(placed, T.StructType([*side.schema.fields, T.StructField("part", T.LongType()), T.StructField("gap", T.DoubleType())]))
+
+    axes_of = names["p"]
+    held = work.keep(numbered(sided(points, "p")))
+    axes_of = names["q"]
+    asked = work.keep(numbered(sided(queries, "q")).withColumnRenamed("gap", "own"))
+    sizes = {r["part"]: (r["n"], r["far"]) for r in held.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.max("gap").alias("far")).collect()}  # a row a pivot
+    first = capped(asked.join(held, "part").select("qid", "pid", distance(axes).alias("d")), k)
+    bounds = first.groupBy("qid").agg(F.when(F.count(F.lit(1)) == k, F.max("d")).alias("bound"))
+    bounded = asked.drop("part", "own").join(bounds, "qid", "left")
+    counts = np.array([sizes.get(i, (0, 0.0))[0] for i in range(len(chosen))])
+    radii = np.array([sizes.get(i, (0, -np.inf))[1] for i in range(len(chosen))])
+    limits = spark.sparkContext.broadcast((counts, radii))
+
+    def looked(batches):
+        counts, radii = limits.value
+        for pdf in batches:
+            for start in range(0, len(pdf), 512):
+                own = pdf.iloc[start : start + 512]
+                d = distances(own[names["q"]].to_numpy(float))
+                # Without k points in its own part: so many parts lie wholly within a distance that they hold k.
+                whole = np.where(counts > 0, d + radii, np.inf)
+                order = np.argsort(whole, axis=1)
+                enough = np.cumsum(counts[order], axis=1) >= k
+                at = np.where(enough.any(axis=1), enough.argmax(axis=1), -1)
+                reach = np.where(at >= 0, np.take_along_axis(whole, np.take_along_axis(order, np.maximum(at, 0)[:, None], axis=1), axis=1)[:, 0], np.inf)
+                far = np.fmin(own["bound"].to_numpy(float), reach) * slack
+                row, part = np.nonzero((d - radii <= far[:, None]) & (counts > 0))
+                yield own.drop(columns="bound").iloc[row].assign(part=part, away=d[row, part], far=far[row])
+
+    schema = T.StructType([*asked.drop("part", "own").schema.fields, T.StructField("part", T.LongType()), T.StructField("away", T.DoubleType()), T.StructField("far", T.DoubleType())])
+    near = bounded.mapInPandas(looked, schema)
+    tolerance = F.col("far") + F.abs(F.col("away")) * 1e-9
+    return near.join(held, "part").where(F.abs(F.col("gap") - F.col("away")) <= tolerance).drop("part", "away", "gap")
+
+
 def exact_matches(cloud: DataFrame, other: DataFrame) -> DataFrame:
     """(point_id, match_id): for each point of other at exactly equal coordinates the smallest id of cloud."""
     first = cloud.groupBy(*AXES).agg(F.min("point_id").alias("match_id"))
