@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cloudloom.jobs.image_queries import _IMAGE, STEP, _image
-from cloudloom.operators import contours, enhance, raster, shapes
-from cloudloom.sources.clouds import PARTS_SQL, events_cloud, part_curves
+from cloudloom.operators import alpha, contours, enhance, raster, shapes
+from cloudloom.sources.clouds import EMBEDDINGS_SQL, PARTS_SQL, embeddings_cloud, events_cloud, part_curves
 from cloudloom.sources.shared import saved
 
 BRIGHT, SIZE, ROUNDS, STROKE = 120, 3, 2, 3
 SCALE, HOLE = 12.0, 0.4
+ALPHA = 0.1
 
 
 def _bright(s, d):
@@ -45,7 +46,14 @@ def _stars(s, d):
     return both.select("shape", "r.ring", F.struct("angle", "part").alias("seq"), "r.x", "r.y")
 
 
+def _flat(s, d):
+    return embeddings_cloud(s, d).select(F.col("label").alias("shape"), "point_id", "x", "y")
+
+
 QUERIES = {
+    "alpha_triangles": lambda s, d: alpha.triangles(_flat(s, d), ALPHA),
+    "alpha_outline": lambda s, d: alpha.outline(saved(alpha.triangles(_flat(s, d), ALPHA))),
+    "cluster_skeletons": lambda s, d: alpha.skeletons(embeddings_cloud(s, d), alpha=ALPHA, scale=4).select("label", *[F.round(a, 4).alias(a) for a in "xyz"]),
     "contour_areas": _contours,
     "largest_contour": lambda s, d: contours.largest(_contours(s, d)),
     "border_removed": _without_borders,
@@ -86,7 +94,15 @@ _LEVELS = f"""tiled AS MATERIALIZED (SELECT segment_id, height AS h, width AS w,
  raised AS (SELECT *, least(n, most) + over_ // 256 + CASE WHEN over_ % 256 > 0 AND v % greatest(256 // greatest(over_ % 256, 1), 1) = 0 AND v // greatest(256 // greatest(over_ % 256, 1), 1) < over_ % 256 THEN 1 ELSE 0 END AS m FROM spare),
  maps AS MATERIALIZED (SELECT segment_id, ty, tx, v, CAST(least(255, round_even(sum(m) OVER (PARTITION BY segment_id, ty, tx ORDER BY v) * (255.0::DOUBLE / area), 0)) AS INT) AS level FROM raised)"""
 
+_TRIANGLES = f"""WITH own AS MATERIALIZED (SELECT label AS shape, point_id, x, y FROM {EMBEDDINGS_SQL}),
+ triples AS (SELECT a.shape, a.point_id AS a, b.point_id AS b, c.point_id AS c, a.x AS ax, a.y AS ay, b.x - a.x AS bx, b.y - a.y AS by_, c.x - a.x AS cx, c.y - a.y AS cy FROM own a JOIN own b ON b.shape = a.shape AND b.point_id > a.point_id JOIN own c ON c.shape = b.shape AND c.point_id > b.point_id),
+ round_ AS MATERIALIZED (SELECT shape, a, b, c, ax + (cy * (bx * bx + by_ * by_) - by_ * (cx * cx + cy * cy)) / (2 * (bx * cy - by_ * cx)) AS mx, ay + (bx * (cx * cx + cy * cy) - cx * (bx * bx + by_ * by_)) / (2 * (bx * cy - by_ * cx)) AS my, ax, ay FROM triples),
+ small AS (SELECT *, sqrt((mx - ax) * (mx - ax) + (my - ay) * (my - ay)) AS r FROM round_),
+ found AS MATERIALIZED (SELECT shape, a, b, c FROM small s WHERE r < 1 / {ALPHA}::DOUBLE AND NOT EXISTS (SELECT 1 FROM own p WHERE p.shape = s.shape AND p.point_id NOT IN (s.a, s.b, s.c) AND (p.x - s.mx) * (p.x - s.mx) + (p.y - s.my) * (p.y - s.my) < s.r * s.r))"""
+
 SQL = {
+    "alpha_triangles": f"{_TRIANGLES} SELECT * FROM found",
+    "alpha_outline": f"{_TRIANGLES} SELECT shape, a, b FROM (SELECT shape, a, b FROM found UNION ALL SELECT shape, b, c FROM found UNION ALL SELECT shape, a, c FROM found) GROUP BY shape, a, b HAVING count(*) = 1",
     "contour_areas": f"WITH RECURSIVE {_CONTOURS} SELECT segment_id, region, around, CAST(area AS DOUBLE) AS area FROM found",
     "largest_contour": f"WITH RECURSIVE {_CONTOURS} SELECT segment_id, region, around, CAST(area AS DOUBLE) AS area FROM top",
     # What no way around the largest contour's region leads to lies inside.
