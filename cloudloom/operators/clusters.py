@@ -184,16 +184,16 @@ def similarity(cloud: DataFrame, by: str = "label", aspect: DataFrame | None = N
 
 
 def grouped(cloud: DataFrame, k: int = 4, by: str = "label") -> DataFrame:
-    """cloud with group_label: its clusters in k groups by power iteration on their similarity, numbered by their smallest cluster; -1 for noise."""
-    from pyspark.ml.clustering import PowerIterationClustering
+    """cloud with group_label: its clusters in k spectral groups by their similarity, numbered by their smallest cluster; -1 for noise."""
+    from cloudloom.operators.spectral import groups
 
     found = cloud.where(F.col(by) >= 0)
-    links = saved(similarity(found, by, aspects(found, by)).where("a < b").select(F.col("a").cast("long").alias("src"), F.col("b").cast("long").alias("dst"), F.col("similarity").alias("weight")))
+    links = saved(similarity(found, by, aspects(found, by)).where("a < b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.col("similarity").alias("weight")))
     if links.isEmpty():
         return cloud.withColumn("group_label", F.when(F.col(by) >= 0, 0).otherwise(-1))
-    named = PowerIterationClustering(k=k, maxIter=20, initMode="degree", weightCol="weight").assignClusters(links)
-    firsts = named.groupBy("cluster").agg(F.min("id").alias("first"))
-    numbers = named.join(ranked(firsts, ["first"]), "cluster").select(F.col("id").cast(cloud.schema[by].dataType).alias(by), F.col("rank").cast("int").alias("group_label"))
+    named = saved(groups(links, k))
+    firsts = named.groupBy("label").agg(F.min("node").alias("first"))
+    numbers = named.join(ranked(firsts, ["first"]), "label").select(F.col("node").cast(cloud.schema[by].dataType).alias(by), F.col("rank").cast("int").alias("group_label"))
     return cloud.join(numbers, by, "left").withColumn("group_label", F.coalesce("group_label", F.lit(-1)))
 
 
