@@ -72,17 +72,19 @@ def dbscan(cloud: DataFrame, eps: float, least: int = 3, by: list[str] | None =
         points = work.keep(cloud.select(*by, "point_id", *AXES, *[cell(F.col(a), width).alias(c) for a, c in zip(AXES, cells, strict=True)]))
         crowded = points.groupBy(*by, *cells).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).drop("n")
         thin = work.keep(points.join(crowded, [*by, *cells], "left_anti"))
-        some = within(thin, points, eps, by=by).groupBy("qid").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select(F.col("qid").alias("point_id"))
-        core = work.keep(points.join(crowded, [*by, *cells], "left_semi").unionByName(thin.join(some, "point_id", "left_semi").select(points.columns)))
-        named = work.keep(core.groupBy(*by, *cells).agg(F.min("point_id").alias("node")))
-        core = work.keep(core.join(named, [*by, *cells]))
-        roots = named.join(components(linked_cells(core, eps, width, by, work), work), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-        numbers = ranked(roots.select("root").distinct(), ["root"])
-        clustered = work.keep(core.join(roots.join(numbers, "root").select("node", F.col("rank").alias("own")), "node").select(*by, "point_id", *AXES, "own"))
-        rest = thin.join(clustered.select("point_id"), "point_id", "left_anti")
-        border = within(rest, clustered, eps, by=by).join(clustered.select(F.col("point_id").alias("pid"), "own"), "pid").groupBy(F.col("qid").alias("point_id")).agg(F.min("own").alias("own"))
-        labels = saved(clustered.select("point_id", "own").unionByName(border))
-    return cloud.drop("label").join(labels, "point_id", "left").withColumn("label", F.coalesce("own", F.lit(-1)).cast("int")).drop("own")
+        own_id = [*by, "point_id"]  # a point may lie in several groups
+        some = within(thin, points, eps, by=by).groupBy(*by, F.col("qid").alias("point_id")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).drop("n")
+        core = work.keep(points.join(crowded, [*by, *cells], "left_semi").unionByName(thin.join(some, own_id, "left_semi").select(points.columns)))
+        named = work.keep(core.groupBy(*by, *cells).agg(F.min("point_id").alias("first")).withColumn("node", F.monotonically_increasing_id()))
+        core = work.keep(core.join(named.drop("first"), [*by, *cells]))
+        found = components(linked_cells(core, eps, width, by, work), work)
+        roots = work.keep(named.select("node", "first").join(found, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")))
+        numbers = ranked(roots.groupBy("root").agg(F.min("first").alias("first")), ["first", "root"])
+        clustered = work.keep(core.join(roots.select("node", "root").join(numbers, "root").select("node", F.col("rank").alias("own")), "node").select(*own_id, *AXES, "own"))
+        rest = thin.join(clustered.select(own_id), own_id, "left_anti")
+        border = within(rest, clustered, eps, by=by).join(clustered.select(*by, F.col("point_id").alias("pid"), "own"), [*by, "pid"]).groupBy(*by, F.col("qid").alias("point_id")).agg(F.min("own").alias("own"))
+        labels = saved(clustered.select(*own_id, "own").unionByName(border))
+    return cloud.drop("label").join(labels, own_id, "left").withColumn("label", F.coalesce("own", F.lit(-1)).cast("int")).drop("own")
 
 
 def linked_cells(core: DataFrame, eps: float, width: float, by: list[str], work: Workspace) -> DataFrame:

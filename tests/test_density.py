@@ -91,3 +91,18 @@ def test_knees_of_all_groups_at_once(spark):
         assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs}) and all((a == -1) == (b == -1) for a, b in pairs)
         firsts += [(min(i for i in alone if alone[i] == a), b) for a, b in pairs if a >= 0]
     assert [b for _, b in sorted(firsts)] == list(range(len(firsts))) and len(firsts) >= 2
+
+
+def test_points_of_several_groups(spark):
+    """The same points in two groups, and in a third some of them: each group has clusters of its own."""
+    draw = np.random.default_rng(8)
+    points = [(i, *map(float, p)) for i, p in enumerate(np.concatenate([draw.normal(0, 0.3, (30, 3)), draw.normal(8, 0.3, (30, 3))]))]
+    rows = [(g, *p) for g in "abc" for p in points if g != "c" or p[0] % 2]
+    got = clusters.dbscan(spark.createDataFrame(rows, "part string, point_id long, x double, y double, z double"), 1.0, by=["part"]).collect()
+    assert len(got) == len(rows)
+    for g in "abc":
+        own = [p for p in points if g != "c" or p[0] % 2]
+        alone, found = plain(own, 1.0, 3), {r["point_id"]: r["label"] for r in got if r["part"] == g}
+        pairs = {(alone[i], found[i]) for i in alone}
+        assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs}) >= 2
+    assert len({r["label"] for r in got if r["label"] >= 0}) == len({(r["part"], r["label"]) for r in got if r["label"] >= 0})
