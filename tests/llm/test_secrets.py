@@ -68,6 +68,49 @@ def test_held_out_planted_findings(spark):
     assert good > 3000 and good / (good + wrong) > 0.97 and good / (good + missed) > 0.97
 
 
+def test_kinds_that_were_left_out(spark):
+    """Neither kind is among the strings that the forest is fitted on; no word names these secrets."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    known = secrets.statistics(docs)
+    half = lambda k: docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == k)
+    unseen, harmless = ["AKIA", "ghp", "xoxb", "sk_live", "connection"], ["serial", "port", "path"]
+    with Workspace(spark) as work:
+        fitted = work.keep(secrets.labelled_findings(half(0), known, work, without=[*unseen, *harmless]))
+        assert not {r.kind for r in fitted.select("kind").distinct().collect()} & {*unseen, *harmless}
+        rated = secrets.labelled_findings(half(1), known, work, seed=77).withColumn("found", secrets.fit(fitted) >= 0.5)
+        found = {r.kind: (r.n, r.found) for r in rated.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("found").cast("int")).alias("found")).collect()}
+    print({k: found[k] for k in [*unseen, *harmless]})
+    assert all(found[k][0] > 150 and found[k][1] > 0.9 for k in unseen)
+    assert all(found[k][0] > 150 and found[k][1] < 0.05 for k in harmless)
+
+
+def test_secrets_that_no_word_names(spark):
+    letters = lambda n, k: "".join("aZ3kQ9xWm7RtB2yLp5DfH8vJ"[(i * i * 5 + i * k + k) % 24] for i in range(n))
+    texts, want = [], {}
+    for i in range(40):
+        made = [f"AKIA{letters(16, i + 1).upper()}", f"ghp_{letters(36, i)}", f"sk_live_{letters(24, i)}", f"xoxb-{i * 7919 + 10**10}-{i * 104729 + 10**11}-{letters(24, i)}", letters(16, i)]
+        texts.append((i, f"we keep {made[0]} here and {made[1]} there\nSTRIPE={made[2]}\nsend it with {made[3]} today\npostgres://reader:{made[4]}@db.internal.net:5432/main\nsee /usr/share/documentation/index.html and 4785380592391139"))
+        want[i] = set(made)
+    rows = secrets.scan(spark.createDataFrame(texts, "doc_id long, text string"), known=secrets.statistics(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))).collect()
+    flagged = {(r.doc_id, r.candidate) for r in rows if r.secret}
+    asked = {(i, x) for i, xs in want.items() for x in xs}
+    assert len(flagged & asked) > 0.9 * len(asked) and flagged <= asked
+
+
+def test_copies_are_drawn_as_one(spark):
+    docs = spark.range(9000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 6000, F.lit("the same words in every copy of it")).otherwise(F.concat(F.lit("other words of row "), F.col("id").cast("string"))).alias("text"))
+    lines = secrets.planted(docs, most_planted=8000)
+    n, ids = lines.agg(F.count(F.lit(1)), F.countDistinct("id")).first()
+    assert n == ids and 4000 < n < 12_000
+    assert secrets.planted(docs.limit(0)).count() == 0 == secrets.planted(docs.select("doc_id", F.lit(None).cast("string").alias("text"))).count()
+    # Nor do repeated findings outweigh the others in the fit.
+    with Workspace(spark) as work:
+        once = secrets.labelled_findings(docs, secrets.Statistics(), work, most_planted=500)
+        often = once.unionByName(once).unionByName(once)
+        rated = [secrets.features(secrets.candidates(lines.limit(50), "id"), secrets.Statistics()).select("id", "candidate", secrets.fit(f).alias("score")).orderBy("id", "candidate").collect() for f in (once, often)]
+    assert rated[0] == rated[1]
+
+
 def test_compiled_forest_votes_like_its_trees(spark):
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
