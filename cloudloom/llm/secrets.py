@@ -106,7 +106,7 @@ def features(found: DataFrame, known: Statistics) -> DataFrame:
         "length": F.length(c), "digits": count("[0-9]") / F.length(c), "uppers": count("[A-Z]") / F.length(c), "lowers": count("[a-z]") / F.length(c), "marks": count("[^A-Za-z0-9]") / F.length(c),
         "transitions": (F.length(runs) - 1) / F.length(c), "surprise": F.aggregate(steps, F.lit(0.0), lambda a, x: a + x) / n, "distinct_share": F.size(F.array_distinct("_codes")) / F.least(F.length(c), F.lit(28)),
         "covered": 1 - F.length(F.regexp_replace(F.lower(c), words, "")) / F.length(c), "slashes": count("/"), "dots": count("\\."), "hex": c.rlike("^[0-9a-fA-F]+$"), "dashes_apart": c.rlike("^[A-Za-z]+([_-][A-Za-z]+)+$"),
-        "prefixed": c.rlike("^[A-Za-z]{2,5}([_.-][A-Za-z]{3,5})?[_.-][A-Za-z0-9]{16,}"), "in_address": F.col("own").rlike("//[^/:@]*:[^/:@]{6,}@"), "digest_before": beside.rlike("|".join(DIGESTS)),
+        "prefixed": c.rlike("^[A-Za-z]{2,5}([_.-][A-Za-z]{3,5})?[_.-][A-Za-z0-9]{16,}"), "in_address": F.col("own").contains(F.concat(F.lit(":"), c, F.lit("@"))) & F.col("own").contains("//"), "digest_before": beside.rlike("|".join(DIGESTS)),
         "keyword_before": beside.rlike("|".join(KEYWORDS)), "name_before": beside.rlike("[a-z_]+[\"']?\\s*[=:]\\s*[\"']?$"), "assigned": beside.rlike("[=:]\\s*[\"']?$") | F.col("before").isin("=", ":", ":="),
         "quoted": F.col("own").rlike("^[\"'].*[\"']"), "words_after": F.length("after") > 0, "words_before": F.length("before2") > 0,
     }
