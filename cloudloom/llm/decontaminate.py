@@ -125,7 +125,7 @@ def build(rows: list, n: int) -> Index:
     return index
 
 
-def candidates(texts: list[list[bytes]], index: Index, least: float, most_cells: int = 1 << 21) -> Iterator[tuple[int, int, list[int], list[int]]]:
+def candidates(texts: list[list[bytes]], index: Index, least: float, most_cells: int = 1 << 19) -> Iterator[tuple[int, int, list[int], list[int]]]:
     """(text, first word of a passage, its terms, blocks that may hold an item of it): what the block bounds leave of all passages."""
     step, width = index.longest, max(1, len(index.terms))
     sizes = np.array([len(w) for w in texts])
@@ -219,7 +219,7 @@ def _search(docs: DataFrame, index: Index, schema: T.StructType, key: str, text:
         index, names = Index(*shared.value), to_arrow_schema(schema)
         for batch in batches:
             out: list[list] = [[] for _ in schema]
-            for part in slices(batch, text):
+            for part in slices(batch, text, 1 << 20):
                 keys = part.column(key).to_pylist()
                 texts = [words_of(t) if t else [] for t in part.column(text).to_pylist()]
                 for (doc, i), (leaked, question, answer, score, whole) in matches(texts, index, least, n).items() if index.blocks else ():

@@ -44,6 +44,10 @@ UNKNOWN_PENALTY = 10.0
 LONGEST = 64
 #: Different chunks that a worker remembers before it starts anew.
 MOST_KNOWN = 200_000
+#: Places in the filtered lattices that a worker remembers before it starts anew; one takes about 50 bytes.
+MOST_PLACES = 1 << 20
+#: Bytes of text that are sampled together, new chunks that are filtered together, and chunks whose segmentations are drawn together.
+SAMPLED_BYTES, FILTERED_CHUNKS, DRAWN = 1 << 19, 1 << 13, 1 << 16
 CHUNKS = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 GOLDEN = 0x9E3779B97F4A7C15
 
@@ -181,7 +185,7 @@ def uniforms(key: int, seed: int, n: int, after: int = 0) -> list[float]:
 class Trie:
     """The pieces' prefixes in an open-addressed table, so that many places of a text are followed at once."""
 
-    BITS = 21
+    BITS = 19
 
     def __init__(self, pieces: list[str]):
         known: dict[int, int] = {0: -1}
@@ -192,7 +196,7 @@ class Trie:
                 known.setdefault(h, -1)
             known[h] = k
         del known[0]
-        self.keys, self.values = np.zeros(1 << self.BITS, np.uint64), np.full(1 << self.BITS, -1, np.int64)
+        self.keys, self.values = np.zeros(1 << self.BITS, np.uint64), np.full(1 << self.BITS, -1, np.int32)
         self.probes = 1
         for h, k in known.items():
             at, tries = h >> (64 - self.BITS), 1
@@ -349,7 +353,7 @@ class Filtered:
         for who, _ in parts:
             n[who] += 1
         ends = np.cumsum(n)
-        out = np.zeros(int(n.sum()), np.int64)
+        out = np.zeros(int(n.sum()), np.int32)
         for k, (who, kinds) in enumerate(parts):
             out[ends[who] - 1 - k] = kinds
         return out, n
@@ -412,12 +416,12 @@ class Sampler:
 
     def encode_all(self, texts: list[str | None], keys: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """(pieces of all texts one after another, how many each has)."""
-        if len(self.known) > MOST_KNOWN:
+        if len(self.known) > MOST_KNOWN or self.filtered.length > MOST_PLACES:
             self.known, self.filtered = Chunks(), Filtered()
         known, walk = self.known, self.filtered
         ids, counts = known.numbers(texts, literal=True)
-        if len(known.found) > walk.chunks:
-            walk.add(self.lattice, known.found[walk.chunks :], self.trie)
+        while len(known.found) > walk.chunks:
+            walk.add(self.lattice, known.found[walk.chunks : walk.chunks + FILTERED_CHUNKS], self.trie)
         if not len(ids):
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
         with np.errstate(over="ignore"):
@@ -433,10 +437,11 @@ class Sampler:
         short, codes = np.argsort(ids, kind="stable")[int((ids < 0).sum()) :], np.zeros(0, np.int64)
         known.long.clear()
         if len(short):
-            kinds, n = walk.sample(ids[short], starts[short])
+            drawn = [walk.sample(ids[some], starts[some]) for some in np.split(short, range(DRAWN, len(short), DRAWN))]
+            kinds, n = (np.concatenate(x) for x in zip(*drawn, strict=True))
             sizes[short], codes = n, walk.codes
         ends = np.cumsum(sizes)
-        flat = np.full(int(sizes.sum()), self.lattice.bytes_[10], np.int64)
+        flat = np.full(int(sizes.sum()), self.lattice.bytes_[10], np.int32)
         if len(short):
             at = np.arange(len(kinds)) + np.repeat((ends - sizes)[short] - (np.cumsum(n) - n), n)
             table = np.concatenate([self.lattice.ids, -1 - np.arange(len(codes))])
@@ -450,7 +455,7 @@ class Sampler:
         """Entries under 0 stand for characters that no piece covers; they become the pieces of their bytes."""
         odd = np.flatnonzero(flat < 0)
         if not len(odd):
-            return flat.astype(np.int32), per_text
+            return flat, per_text
         spelling = {c: [self.lattice.bytes_[b] for b in chr(c).encode()] for c in set(codes.tolist())}
         own = [spelling[c] for c in codes[-1 - flat[odd]].tolist()]
         width = np.ones(len(flat), np.int64)
@@ -462,7 +467,7 @@ class Sampler:
             those = [j for j, x in enumerate(own) if len(x) > k]
             out[place[those] + k] = [own[j][k] for j in those]
         text = np.repeat(np.arange(len(per_text)), per_text)
-        return out.astype(np.int32), np.bincount(text, width, len(per_text)).astype(np.int64)
+        return out, np.bincount(text, width, len(per_text)).astype(np.int64)
 
     def long(self, chunk: str, key: int) -> np.ndarray:
         def draws(at: int = 0) -> Iterator[float]:
@@ -525,7 +530,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler, surfaces = Sampler(Lattice(Vocabulary(*shared.value), alpha), seed), shared.value[2]
         for batch in batches:
-            for part in slices(batch, text, 2 << 20):
+            for part in slices(batch, text, SAMPLED_BYTES):
                 texts = part.column(text).to_pylist()
                 flat, sizes = sampler.encode_all(texts, part.column(name).to_pylist())
                 ends = np.concatenate([[0], np.cumsum(sizes)])
