@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloudloom.llm.common import lookup, saved, shared_folder, unmoved, unused
+from cloudloom.llm.common import forget, lookup, saved, shared_folder, unmoved, unused
 
 #: log2 of the sketch's registers, and the relative error of an estimate (1.04 / sqrt(registers)) times 4.
 LG_K = 10
@@ -61,7 +61,8 @@ def dedup_lines(docs: DataFrame, id_: str = "doc_id", text: str = "text", site:
     docs = docs.drop("n_lines", "n_removed")
     id_of, own, places, parts = unused(docs, "_id", "_own", "_gone", "_parts")
     # Four steps read the lines; their keys are written once, a few bytes for each line.
-    lines = saved(_lines(docs, id_, text, site, min_words), shared_folder(docs.sparkSession))
+    folder = shared_folder(docs.sparkSession)
+    lines = saved(_lines(docs, id_, text, site, min_words), folder)
     known = spread(lines, min_sites)
     at_first = F.col("id").eqNullSafe(F.col("first.id")) & F.col("own").eqNullSafe(F.col("first.own")) & (F.col("pos") == F.col("first.pos"))
     gone = lines.join(known, "key").where(~at_first)
@@ -69,6 +70,7 @@ def dedup_lines(docs: DataFrame, id_: str = "doc_id", text: str = "text", site:
     gone = gone.select(F.col("id").alias(id_of), F.col("own").alias(own), "pos").distinct().groupBy(id_of, own).agg(F.collect_list("pos").alias(places))
     # Texts are shuffled only where the places are too many for a broadcast.
     few = lookup(saved(gone), entries=F.size(places))
+    forget(docs.sparkSession, folder)
     joined = docs.join(few, F.col(id_).eqNullSafe(F.col(id_of)) & _own(id_, text).eqNullSafe(F.col(own)), "left").withColumn(parts, F.split(text, "\n"))
     kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(places))
     return joined.withColumns({
