@@ -1,6 +1,6 @@
 """Neighbour joins by cells: each point lies in one cell, each query looks into the cells around its own.
 
-The range join is exact with cells as wide as the radius. The nearest-neighbour join starts with cells that hold about k points each and doubles
+The range join is exact with cells as wide as the radius. The nearest-neighbour join goes by leaves (``leaves``); with groups it starts with cells that hold about k points each and doubles
 the width for the queries that aren't settled: one is when it has k candidates no farther than a cell's width, as no nearer point can lie
 outside the block. Once FEW queries or less are left, far-off ones mostly, these are sent to all points, which are then read once: each task
 keeps the k nearest of what it has read. Ties go to the smaller id.
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cloudloom.functions.geometry import AXES, cell, inverted
+from cloudloom.operators import leaves
 from cloudloom.sources.shared import Workspace, saved
 
 
@@ -48,6 +49,12 @@ def capped(pairs: DataFrame, most: int, by: list[str] | None = None) -> DataFram
     return pairs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
 
 
+def listed(queries: DataFrame, points: DataFrame, k: int, axes: tuple[str, ...] = AXES, radius: float | None = None, keep: tuple[str, ...] = (), carry: tuple[str, ...] = ()) -> DataFrame:
+    """(qid, q*, pid, p*, d, place): as nearest, of points within radius if it is given, with columns of the query (keep) and of the point (carry)."""
+    found = leaves.Leaves(points, k, axes, carry)
+    return leaves.gathered(leaves.reaches(queries, found, radius, keep), found)
+
+
 def nearest(queries: DataFrame, points: DataFrame, k: int, axes: tuple[str, ...] = AXES, by: list[str] | None = None) -> DataFrame:
     """(by, qid, pid, d, place): the k nearest points of each query, fewer where there are fewer; the point itself counts if it is among points."""
     by = by or []
@@ -64,6 +71,8 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, axes: tuple[str, ...]
             return _by_pivots(queries, points, k, axes, n)
         blocks = -(-asking // FEW)  # the queries are a stated set against all points, in blocks
         return reduce(DataFrame.unionByName, [_sent(queries.where(F.pmod(F.xxhash64("point_id"), F.lit(blocks)) == b), points, k, axes, by) for b in range(blocks)])
+    if not by:
+        return listed(queries, points, k, axes).select("qid", "pid", "d", "place")
     spans = [max(bounds[2 + 2 * i], asked[1 + 2 * i]) - min(bounds[1 + 2 * i], asked[2 * i]) for i in range(len(axes))]
     extents = [max(bounds[2 + 2 * i] - bounds[1 + 2 * i], 1e-9) for i in range(len(axes))]
     width = max((reduce(float.__mul__, map(float, extents), 1.0) * k / n) ** (1 / len(axes)), max(spans) / 2**20, 1e-9)
