@@ -222,9 +222,9 @@ def remove_nearest(cloud: DataFrame, leftovers: DataFrame) -> DataFrame:
 
 def majority(queries: DataFrame, colored: DataFrame, k: int) -> DataFrame:
     """(point_id, color): the colour most of a query's k nearest have; of equal ones the first of red, green, black, white."""
-    votes = nearest(queries, colored, k).join(colored.select(F.col("point_id").alias("pid"), "color"), "pid")
+    votes = listed(queries, colored, k, carry=("color",))
     names = ["red", "green", "black", "white"]
-    counted = votes.groupBy("qid").agg(*[F.count_if(F.col("color") == c).alias(c) for c in names])
+    counted = votes.groupBy("qid").agg(*[F.count_if(F.col("pcolor") == c).alias(c) for c in names])
     top = F.greatest(*names)
     return counted.select(F.col("qid").alias("point_id"), F.coalesce(*[F.when(F.col(c) == top, F.lit(c)) for c in names]).alias("color"))
 

@@ -58,3 +58,16 @@ def test_nothing_and_points_without_a_place(spark):
     assert sorted((r.qid, r.pid) for r in neighbors.listed(some, some, 3).collect()) == [(0, 0), (0, 3), (3, 0), (3, 3)]
     named = some.selectExpr("concat('n', point_id) AS point_id", "x", "y", "z")
     assert sorted((r.qid, r.pid) for r in neighbors.listed(named, named, 1).collect()) == [("n0", "n0"), ("n3", "n3")]
+
+
+def pair_joins(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+
+
+def test_votes_take_the_colours_along(spark):
+    """No list of neighbours is joined with the colours."""
+    rng = np.random.default_rng(5)
+    p = rng.random((60, 3))
+    points = cloud(spark, p).replace({"c0": "red", "c1": "green", "c2": "black"}, subset=["color"])
+    out = neighbors.majority(points, points, 7)
+    assert pair_joins(out) == 0 and out.count() == 60
