@@ -10,16 +10,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloudloom.functions.geometry import AXES, affine
-from cloudloom.operators import voxel
+from cloudloom.operators import leaves, voxel
 from cloudloom.operators.clusters import ranked
-from cloudloom.operators.neighbors import capped, nearest, within
+from cloudloom.operators.neighbors import capped, listed, nearest, within
 from cloudloom.sources.shared import saved
 
 
 def normals(cloud: DataFrame, radius: float, most: int = 30) -> DataFrame:
     """cloud with nx, ny, nz: the direction of least variance of up to most neighbours within radius, upwards; (0, 0, 1) with fewer than three."""
-    near = capped(within(cloud, cloud, radius), most).join(cloud.select(F.col("point_id").alias("pid"), *AXES), "pid")
-    cov = near.groupBy(F.col("qid").alias("point_id")).agg(F.count(F.lit(1)).alias("k"), *[F.covar_pop(a, b).alias(f"c{a}{b}") for i, a in enumerate(AXES) for b in AXES[i:]])
+    near = listed(cloud, cloud, most, radius=radius, carry=AXES)
+    cov = near.groupBy(F.col("qid").alias("point_id")).agg(F.count(F.lit(1)).alias("k"), *[F.covar_pop(f"p{a}", f"p{b}").alias(f"c{a}{b}") for i, a in enumerate(AXES) for b in AXES[i:]])
 
     def solve(batches):
         for pdf in batches:

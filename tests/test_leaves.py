@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from cloudloom.operators import leaves, neighbors
+from cloudloom.operators import leaves, neighbors, register
 
 
 def cloud(spark, at, ids=None):
@@ -71,3 +71,15 @@ def test_votes_take_the_colours_along(spark):
     points = cloud(spark, p).replace({"c0": "red", "c1": "green", "c2": "black"}, subset=["color"])
     out = neighbors.majority(points, points, 7)
     assert pair_joins(out) == 0 and out.count() == 60
+
+
+def test_normals_join_no_pairs_and_equal_numpy(spark, small):
+    rng = np.random.default_rng(6)
+    p = rng.random((150, 3)) * [10, 10, 0.1]
+    out = register.normals(cloud(spark, p), 2.0, 12)
+    assert pair_joins(out) == 1  # with the cloud
+    lists = brute(p, p, 12, 2.0)
+    for r in out.collect():
+        own = p[[lists[r.point_id, k][0] for k in range(1, 13) if (r.point_id, k) in lists]]
+        n = np.linalg.eigh(np.cov(own.T, bias=True))[1][:, 0] if len(own) > 2 else np.array([0, 0, 1.0])
+        assert np.allclose(np.abs(n @ [r.nx, r.ny, r.nz]), 1, atol=1e-6) and r.nz >= 0
