@@ -158,11 +158,13 @@ def fpfh(cloud: DataFrame, radius: float, most: int = 100) -> DataFrame:
     A pair's frame stands on the end whose normal is nearer to the line between them; three angles fall into 11 bins each. A point's
     own histogram, in percent, is added to the sum of its neighbours' ones over their squared distance, brought to 100 for each angle. A point without
     neighbours has zeros."""
-    near = capped(within(cloud, cloud, radius), most).where("qid <> pid").select("qid", "pid", "d")
-    side = lambda end, n: cloud.select(F.col("point_id").alias(f"{end}id"), *[F.col(a).alias(f"{end}{a}") for a in AXES], *[F.col(f"n{a}").alias(f"{n}{a}") for a in AXES])
+    used = (*AXES, *[f"n{a}" for a in AXES])
+    held = leaves.Leaves(cloud, most, AXES, used)
+    asked = leaves.reaches(cloud, held, radius, used)
     dot = lambda a, b: sum((F.col(f"{a}{x}") * F.col(f"{b}{x}") for x in AXES[1:]), F.col(f"{a}x") * F.col(f"{b}x"))
     cross = lambda a, b: {x: F.col(f"{a}{y}") * F.col(f"{b}{z}") - F.col(f"{a}{z}") * F.col(f"{b}{y}") for x, y, z in ("xyz", "yzx", "zxy")}
-    pairs = near.join(side("q", "m"), "qid").join(side("p", "o"), "pid").withColumns({f"e{a}": F.col(f"p{a}") - F.col(f"q{a}") for a in AXES})
+    near = leaves.gathered(asked, held).where("qid <> pid").withColumnsRenamed({f"{s}n{a}": f"{t}{a}" for s, t in ("qm", "po") for a in AXES})
+    pairs = near.withColumns({f"e{a}": F.col(f"p{a}") - F.col(f"q{a}") for a in AXES})
     pairs = pairs.withColumns({"c1": dot("m", "e") / F.col("d"), "c2": dot("o", "e") / F.col("d")}).withColumn("turned", F.abs("c1") < F.abs("c2"))
     choose = lambda a, b: F.when(F.col("turned"), a).otherwise(b)
     pairs = pairs.withColumns({f"{t}{a}": choose(F.col(f"{x}{a}") * k, F.col(f"{y}{a}")) for t, x, y, k in (("n", "o", "m", 1), ("l", "m", "o", 1), ("g", "e", "e", -1)) for a in AXES})
@@ -173,11 +175,15 @@ def fpfh(cloud: DataFrame, radius: float, most: int = 100) -> DataFrame:
     flat = (F.col("d") == 0) | (F.col("vn") == 0)
     angles = [(F.atan2(dot("w", "l"), dot("n", "l")) + np.pi) / (2 * np.pi), (dot("v", "l") + 1) / 2, (choose(-F.col("c2"), F.col("c1")) + 1) / 2]
     bins = [F.least(F.greatest(F.floor(BINS * F.when(flat, 0.5).otherwise(x)), F.lit(0)), F.lit(BINS - 1)).alias(f"b{i}") for i, x in enumerate(angles)]
-    pairs = saved(pairs.select("qid", "pid", "d", *bins))
+    # Pairs are never written: a point's counts are, and its neighbours are looked up once more to add theirs.
+    counts = F.array(*[F.count_if(F.col(f"b{i // BINS}") == i % BINS).cast("int") for i in range(3 * BINS)])
+    counted = saved(pairs.select("qid", *bins).groupBy("qid").agg(counts.alias("counts"), F.count(F.lit(1)).alias("n")))
     columns = [f"f{i}" for i in range(3 * BINS)]
-    own = saved(pairs.groupBy("qid").agg(*[(F.count_if(F.col(f"b{i // BINS}") == i % BINS) * 100 / F.count(F.lit(1))).alias(c) for i, c in enumerate(columns)]))
-    weighted = pairs.where("d > 0").select("qid", F.col("pid").alias("id"), (1 / (F.col("d") * F.col("d"))).alias("weight")).join(own.withColumnRenamed("qid", "id"), "id")
-    sums = weighted.groupBy("qid").agg(*[F.sum(F.col(c) * F.col("weight")).alias(f"s{c}") for c in columns])
+    percent = lambda i: F.get("counts", F.lit(i)) * 100 / F.col("n")
+    own = counted.select("qid", *[percent(i).alias(c) for i, c in enumerate(columns)])
+    again = leaves.gathered(asked.drop(*[f"q{c}" for c in used]), held.carrying(counted.withColumnRenamed("qid", "pid")))
+    weighted = again.where("qid <> pid AND d > 0 AND n IS NOT NULL").withColumn("weight", 1 / (F.col("d") * F.col("d")))
+    sums = weighted.groupBy("qid").agg(*[F.sum(percent(i) * F.col("weight")).alias(f"s{c}") for i, c in enumerate(columns)])
     third = lambda i: sum((F.col(f"sf{j}") for j in range(i // BINS * BINS + 1, i // BINS * BINS + BINS)), F.col(f"sf{i // BINS * BINS}"))
     both = own.join(sums, "qid", "left").select(F.col("qid").alias("point_id"), *[(F.col(c) + F.coalesce(F.try_divide(F.col(f"s{c}") * 100, third(i)), F.lit(0.0))).alias(c) for i, c in enumerate(columns)])
     return cloud.join(both, "point_id", "left").fillna(0.0, columns)

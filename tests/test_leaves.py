@@ -83,3 +83,17 @@ def test_normals_join_no_pairs_and_equal_numpy(spark, small):
         own = p[[lists[r.point_id, k][0] for k in range(1, 13) if (r.point_id, k) in lists]]
         n = np.linalg.eigh(np.cov(own.T, bias=True))[1][:, 0] if len(own) > 2 else np.array([0, 0, 1.0])
         assert np.allclose(np.abs(n @ [r.nx, r.ny, r.nz]), 1, atol=1e-6) and r.nz >= 0
+
+
+def test_histograms_write_no_pairs(spark, small, monkeypatch):
+    rng = np.random.default_rng(7)
+    p = rng.random((150, 3)) * 4
+    points = register.normals(cloud(spark, p), 2.0, 12)
+    written, save = [], register.saved
+    monkeypatch.setattr(register, "saved", lambda df, *a: written.append(df.columns) or save(df, *a))
+    rows = register.fpfh(points, 1.0, 9).collect()
+    assert written and not any("pid" in c for c in written)
+    near = {q for q, place in brute(p, p, 2, 1.0) if place == 2}
+    for r in rows:
+        sums = [sum(r[f"f{i}"] for i in range(t, t + 11)) for t in (0, 11, 22)]
+        assert np.allclose(sums, 200 if r.point_id in near else 0)
